@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from corvine.llm import leakage, splitting
+from corvine.llm import batches, leakage, neardup, packing, splitting
 
 QUERIES = {
+    "p3_found": neardup.found_query,
+    "p3_groups": neardup.groups_query,
+    "p4_found": batches.found_query,
     "p5_found": splitting.found_query,
     "p5_pieces": splitting.pieces_query,
+    "p8_packing": packing.packing_query,
     "p9_found": leakage.found_query,
     "p9_edited": leakage.edited_query,
 }
