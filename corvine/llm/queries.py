@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvine.llm import batches, leakage, neardup, neighbours, packing, splitting
+from corvine.llm import batches, leakage, neardup, neighbours, packing, sentences, splitting
 
 QUERIES = {
     "p3_found": neardup.found_query,
@@ -14,6 +14,8 @@ QUERIES = {
     "p8_packing": packing.packing_query,
     "p9_found": leakage.found_query,
     "p9_edited": leakage.edited_query,
+    "p10_found": sentences.found_query,
+    "p10_units": sentences.units_query,
 }
 
 SQL = {
