@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvine.llm import batches, leakage, neardup, neighbours, packing, sentences, splitting
+from corvine.llm import batches, leakage, markup, neardup, neighbours, packing, sentences, splitting
 
 QUERIES = {
     "p3_found": neardup.found_query,
@@ -10,6 +10,8 @@ QUERIES = {
     "p4_found": batches.found_query,
     "p5_found": splitting.found_query,
     "p5_pieces": splitting.pieces_query,
+    "p6_found": markup.found_query,
+    "p6_clean": markup.clean_query,
     "p7_found": neighbours.found_query,
     "p8_packing": packing.packing_query,
     "p9_found": leakage.found_query,
