@@ -29,7 +29,8 @@ def hexadecimal(c: Column) -> Column:
 
 
 def entries(registry: DataFrame) -> DataFrame:
-    """``(batch_id, entry_id, coll, fh, toks)`` with each replayed row once.
+    """``(batch_id, entry_id, coll, fh, toks, sid, at)`` with each replayed row
+    once; ``at`` is its place in the order of arrival.
 
     ``toks`` has the distinct chunk hashes as 64-bit values, null where the
     entry has none. Of rows sharing an entry_id the one with chunk hashes wins.
@@ -40,7 +41,8 @@ def entries(registry: DataFrame) -> DataFrame:
         F.col("batch_id").cast("int").alias("batch_id"), "entry_id", F.coalesce(F.col("collection_id"), F.lit("\u0000")).alias("coll"), hexadecimal(F.col("file_hash")).alias("fh"), F.when(F.size(toks) > 0, toks).alias("toks")
     )
     one = e.groupBy("entry_id").agg(F.min(F.struct("batch_id", F.col("toks").isNull().alias("none"), F.coalesce("fh", F.lit("")).alias("f"), "coll", "fh", "toks")).alias("x"))
-    return one.select("x.batch_id", "entry_id", "x.coll", "x.fh", "x.toks").withColumn("sid", F.when(F.col("toks").isNotNull(), F.xxhash64("coll", "toks")))
+    e = one.select("x.batch_id", "entry_id", "x.coll", "x.fh", "x.toks").withColumn("sid", F.when(F.col("toks").isNotNull(), F.xxhash64("coll", "toks")))
+    return e.withColumn("at", F.struct("batch_id", "entry_id"))
 
 
 class BatchIndex:
@@ -59,7 +61,7 @@ class BatchIndex:
 
     def build(self, history: DataFrame) -> None:
         """Accept every entry of ``history`` without a check."""
-        sets = history.filter("sid is not null").groupBy("coll", "sid").agg(F.first("toks").alias("toks"), F.min("entry_id").alias("acc"))
+        sets = history.filter("sid is not null").groupBy("coll", "sid").agg(F.first("toks").alias("toks"), F.min("at").alias("acc"))
         sets = materialize(sets, "sets")
         self.common = materialize(sets.select("coll", F.explode("toks").alias("tok")).groupBy("coll", "tok").count().filter("count > 1").withColumnRenamed("count", "df"), "common")
         self._append(history, self._ordered(sets))
@@ -78,7 +80,7 @@ class BatchIndex:
         return sets.select("coll", "sid", n.alias("n"), F.posexplode(F.slice("toks", 1, prefix)).alias("pos", "tok"))
 
     def _append(self, accepted: DataFrame, sets: DataFrame) -> None:
-        files = accepted.filter("fh is not null").groupBy("coll", "fh").agg(F.min("entry_id").alias("acc"))
+        files = accepted.filter("fh is not null").groupBy("coll", "fh").agg(F.min("at").alias("acc"))
         with ThreadPoolExecutor(3) as pool:
             new = list(pool.map(materialize, (files, sets, self._posts(sets)), ("files", "sets", "posts")))
         for table, part in zip((self.files, self.sets, self.posts), new):
@@ -110,13 +112,13 @@ class BatchIndex:
     def step(self, batch: DataFrame) -> DataFrame:
         """``(match_id, entry_id, how)`` of the batch's cases; the rest is accepted."""
         files, sets, posts = (reduce(DataFrame.unionByName, x) for x in (self.files, self.sets, self.posts))
-        mine = materialize(self._ordered(batch.filter("sid is not null").groupBy("coll", "sid").agg(F.first("toks").alias("toks"), F.min("entry_id").alias("acc"))), "mine")
+        mine = materialize(self._ordered(batch.filter("sid is not null").groupBy("coll", "sid").agg(F.first("toks").alias("toks"), F.min("at").alias("acc"))), "mine")
         mine_posts = self._posts(mine)
-        old = materialize(self._near(mine, mine_posts, sets, posts).groupBy("coll", "sid").agg(F.max(F.struct("share", (-F.col("acc")).alias("a"))).alias("x")).select("coll", "sid", "x.share", (-F.col("x.a")).alias("acc")), "old")
+        old = materialize(self._near(mine, mine_posts, sets, posts).groupBy("coll", "sid").agg(F.min(F.struct((-F.col("share")).alias("s"), "acc")).alias("x")).select("coll", "sid", (-F.col("x.s")).alias("share"), "x.acc"), "old")
         # Entries alike in file and chunks stand or fall with the first of them.
-        rep = batch.groupBy("coll", F.coalesce("fh", F.concat(F.lit("-"), F.col("entry_id").cast("string"))).alias("f"), "sid").agg(F.min("entry_id").alias("entry_id"), F.first("fh").alias("fh"))
+        rep = batch.groupBy("coll", F.coalesce("fh", F.concat(F.lit("-"), F.col("entry_id").cast("string"))).alias("f"), "sid").agg(F.min("at").alias("at"), F.first("fh").alias("fh"))
         gone = rep.join(files.select("coll", "fh", F.lit(1).alias("e")).distinct(), ["coll", "fh"], "left").join(old.select("coll", "sid", F.lit(1).alias("o")), ["coll", "sid"], "left")
-        state = materialize(gone.select("coll", "f", "sid", "fh", "entry_id", F.when(F.col("e").isNotNull() | F.col("o").isNotNull(), F.lit("case")).otherwise(F.lit("open")).alias("s")), "state")
+        state = materialize(gone.select("coll", "f", "sid", "fh", "at", F.when(F.col("e").isNotNull() | F.col("o").isNotNull(), F.lit("case")).otherwise(F.lit("open")).alias("s")), "state")
         inner = mine.join(state.filter("s = 'open' and sid is not null").select("coll", "sid").distinct(), ["coll", "sid"], "left_semi")
         inner_posts = self._posts(inner)
         links = materialize(self._near(inner, inner_posts, inner, inner_posts).select("coll", "sid", "other", "share").union(inner.select("coll", "sid", F.col("sid").alias("other"), F.lit(1.0).alias("share"))).distinct(), "links")
@@ -125,15 +127,15 @@ class BatchIndex:
             if state.filter("s = 'open'").isEmpty():
                 break
         taken = state.filter("s = 'accepted'")
-        accepted = materialize(batch.join(taken.select("entry_id"), "entry_id", "left_semi"), "accepted")
+        accepted = materialize(batch.join(taken.select("at.entry_id"), "entry_id", "left_semi"), "accepted")
         cases = batch.join(accepted.select("entry_id"), "entry_id", "left_anti")
-        all_files = files.unionByName(accepted.filter("fh is not null").select("coll", "fh", F.col("entry_id").alias("acc"))).groupBy("coll", "fh").agg(F.min("acc").alias("file_match"))
-        own = accepted.filter("sid is not null").groupBy("coll", "sid").agg(F.min("entry_id").alias("acc"))
+        all_files = files.unionByName(accepted.filter("fh is not null").select("coll", "fh", F.col("at").alias("acc"))).groupBy("coll", "fh").agg(F.min("acc").alias("file_match"))
+        own = accepted.filter("sid is not null").groupBy("coll", "sid").agg(F.min("at").alias("acc"))
         new = links.join(own.withColumnRenamed("sid", "other"), ["coll", "other"]).select("coll", "sid", "share", "acc")
-        c = cases.join(all_files, ["coll", "fh"], "left").filter("file_match is null or file_match < entry_id or sid is not null")
-        near = cases.join(old.unionByName(new), ["coll", "sid"]).filter("acc < entry_id").groupBy("entry_id").agg(F.max(F.struct("share", (-F.col("acc")).alias("a"))).alias("x")).select("entry_id", (-F.col("x.a")).alias("near_match"))
-        exact = (F.col("file_match").isNotNull()) & (F.col("file_match") < F.col("entry_id"))
-        result = c.join(near, "entry_id", "left").select(F.when(exact, F.col("file_match")).otherwise(F.col("near_match")).alias("match_id"), "entry_id", F.when(exact, F.lit("exact")).otherwise(F.lit("near")).alias("how"))
+        c = cases.join(all_files, ["coll", "fh"], "left")
+        near = cases.join(old.unionByName(new), ["coll", "sid"]).filter("acc < at").groupBy("entry_id").agg(F.min(F.struct((-F.col("share")).alias("s"), "acc")).alias("x")).select("entry_id", F.col("x.acc.entry_id").alias("near_match"))
+        exact = (F.col("file_match").isNotNull()) & (F.col("file_match") < F.col("at"))
+        result = c.join(near, "entry_id", "left").select(F.when(exact, F.col("file_match.entry_id")).otherwise(F.col("near_match")).alias("match_id"), "entry_id", F.when(exact, F.lit("exact")).otherwise(F.lit("near")).alias("how"))
         result = result.filter("match_id is not null")
         self._append(accepted, mine.join(own.select("coll", "sid", F.col("acc").alias("a")), ["coll", "sid"]).select("coll", "sid", F.col("a").alias("acc"), "toks"))
         return result
@@ -142,29 +144,33 @@ class BatchIndex:
     def _round(state: DataFrame, links: DataFrame) -> DataFrame:
         """Settle every open entry with no open entry before it in its file or
         any set alike; later ones wait for another round."""
-        least = lambda s: F.min(F.when(F.col("s") == s, F.col("entry_id")))
+        least = lambda s: F.min(F.when(F.col("s") == s, F.col("at")))
         by_file = state.filter("fh is not null").groupBy("coll", "f").agg(least("open").alias("f_open"), least("accepted").alias("f_acc"))
         by_set = state.filter("sid is not null").groupBy("coll", F.col("sid").alias("other")).agg(least("open").alias("o"), least("accepted").alias("a"))
         around = links.join(by_set, ["coll", "other"]).groupBy("coll", "sid").agg(F.min("o").alias("s_open"), F.min("a").alias("s_acc"))
         x = state.join(by_file, ["coll", "f"], "left").join(around, ["coll", "sid"], "left")
-        before = lambda c: F.coalesce(F.col(c) < F.col("entry_id"), F.lit(False))
+        before = lambda c: F.coalesce(F.col(c) < F.col("at"), F.lit(False))
         s = F.when(F.col("s") != "open", F.col("s")).when(before("f_acc") | before("s_acc"), "case").when(before("f_open") | before("s_open"), "open").otherwise("accepted")
-        return x.select("coll", "f", "sid", "fh", "entry_id", s.alias("s"))
+        return x.select("coll", "f", "sid", "fh", "at", s.alias("s"))
 
 
-def check_batches(registry: DataFrame, share: float = SHARE) -> DataFrame:
+def check_batches(registry: DataFrame, share: float = SHARE, one_by_one: bool = False) -> DataFrame:
     """``(match_id, entry_id, how)``: batch 0 builds the index, the others step
-    through it in order.
-
-    Replayed rows count once; null file hashes and null or empty chunk hashes
-    match nothing; a null collection is one collection; rows without entry_id or
-    batch_id are left out; an empty table gives no rows; further columns are
-    ignored.
+    into it.
+
+    All batches waiting are taken in one step, which settles their entries in
+    the order of arrival; ``one_by_one`` gives each a step of its own, with the
+    same result. Replayed rows count once; null file hashes and null or empty
+    chunk hashes match nothing; a null collection is one collection; rows without
+    entry_id or batch_id are left out; an empty table gives no rows; further
+    columns are ignored.
     """
     spark = registry.sparkSession
     e = materialize(entries(registry), "entries")
     index = BatchIndex(spark, share)
     index.build(e.filter("batch_id = 0"))
+    if not one_by_one:
+        return index.step(e.filter("batch_id > 0"))
     found = [index.step(e.filter(F.col("batch_id") == b)) for (b,) in sorted(e.filter("batch_id > 0").select("batch_id").distinct().collect())]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "match_id bigint, entry_id bigint, how string")
 
