@@ -23,9 +23,9 @@ from pyspark.sql import Window as W
 from corvine.llm.common import materialize, read_table, spread
 
 #: Bits of the sketch that goes with each posting.
-SKETCH = 31
-#: Copies up to which their keys are broadcast to leave them out of the postings.
-BROADCAST_COPIES = 500_000
+SKETCH = 63
+#: Classes up to which their ids are broadcast to filter the vectors (8 bytes each).
+BROADCAST_CLASSES = 500_000
 
 
 def probing_order(hashes: int, probes: int) -> list[tuple[int, ...]]:
@@ -89,9 +89,9 @@ class Buckets:
 
 def most_bits(floor: float) -> int:
     """Bits in which the sketches of two vectors at the floor differ at most,
-    but for one pair in some thousands (three and a half deviations)."""
+    but for one pair in a thousand (three deviations)."""
     p = math.acos(max(-1.0, min(1.0, floor))) / math.pi
-    return min(SKETCH, math.ceil(SKETCH * p + 3.5 * math.sqrt(SKETCH * p * (1 - p))))
+    return min(SKETCH, math.ceil(SKETCH * p + 3 * math.sqrt(SKETCH * p * (1 - p))))
 
 
 def usable(embedding: str, dim: int):
@@ -102,7 +102,7 @@ def usable(embedding: str, dim: int):
 
 def nearest(
     df: DataFrame, key: str, embedding: str, k: int = 10, floor: float = -1.0, dim: int = 64,
-    tables: int = 3, hashes: int = 16, width: float = 2.0, probes: int = 9, queries: DataFrame | None = None, seed: int = 7,
+    tables: int = 3, hashes: int = 16, width: float = 2.0, probes: int = 8, queries: DataFrame | None = None, seed: int = 7,
 ) -> DataFrame:
     """``(item, neighbour, cosine, rank)``: for each usable vector up to ``k``
     others of the highest cosine, none below ``floor``; ties go by the
@@ -135,7 +135,7 @@ def nearest(
     wanted = one.join(queries.select(F.col(f"`{key}`").alias("item")).distinct(), "item", "left_semi") if queries is not None else one
     # Of rows with equal vectors one works for all.
     again = materialize(unique.groupBy("cls").count().filter("count > 1").select("cls"), "copies")
-    if again.count() <= BROADCAST_COPIES:
+    if again.count() <= BROADCAST_CLASSES:
         again = F.broadcast(again)
     single = unique.join(again, "cls", "left_anti").select("cls", "e")
     copied = unique.join(again, "cls", "left_semi")
@@ -150,10 +150,10 @@ def nearest(
                 x = np.asarray(part.column("e").flatten(), dtype=np.float32).reshape(-1, dim)
                 own, probed = buckets.keys(x)
                 keys = probed.reshape(len(x), -1) if probe else own
-                cls, bits = (np.repeat(v, keys.shape[1]) for v in (np.asarray(part.column("cls")), buckets.sketch(x).astype(np.int32)))
+                cls, bits = (np.repeat(v, keys.shape[1]) for v in (np.asarray(part.column("cls")), buckets.sketch(x)))
                 yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(keys.ravel()), pa.array(bits)], names=["cls", "bucket", "bits"])
 
-    posting = "cls bigint, bucket bigint, bits int"
+    posting = "cls bigint, bucket bigint, bits bigint"
     posts = reps.mapInArrow(lambda x: post(x, False), posting)
     asks = asked.mapInArrow(lambda x: post(x, True), posting)
     a, b = asks.alias("a"), posts.alias("b")
@@ -161,7 +161,10 @@ def nearest(
     pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.cls") != F.col("b.cls")) & close).select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"))
     if queries is None:  # either side may have found the other
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    pairs = pairs.distinct()
+    pairs = materialize(pairs.distinct(), "pairs")
+    paired = materialize(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "paired")
+    few_paired = F.broadcast(paired) if paired.count() <= BROADCAST_CLASSES else paired
+    ends = reps.join(few_paired, "cls", "left_semi")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +173,7 @@ def nearest(
                 c = (p * q).sum(axis=1) / np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1))
                 yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array(c)], names=["x", "y", "cosine"]).filter(pa.array(c >= floor))
 
-    rated = pairs.join(reps.select(F.col("cls").alias("x"), F.col("e").alias("p")), "x").join(reps.select(F.col("cls").alias("y"), F.col("e").alias("q")), "y").mapInArrow(rate, "x bigint, y bigint, cosine double")
+    rated = pairs.join(ends.select(F.col("cls").alias("x"), F.col("e").alias("p")), "x").join(ends.select(F.col("cls").alias("y"), F.col("e").alias("q")), "y").mapInArrow(rate, "x bigint, y bigint, cosine double")
     rated = materialize(rated, "rated")
     if queries is None:
         rated = rated.unionByName(rated.select(F.col("y").alias("x"), F.col("x").alias("y"), "cosine"))
