@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from corvine.llm import batches, leakage, markup, neardup, neighbours, packing, sentences, splitting
+from corvine.llm import batches, leakage, markup, neardup, neighbours, packing, scans, sentences, splitting
 
 QUERIES = {
+    "p1_found": scans.found_query,
+    "p1_repaired": scans.repaired_query,
     "p3_found": neardup.found_query,
     "p3_groups": neardup.groups_query,
     "p4_found": batches.found_query,
