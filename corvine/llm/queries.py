@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from corvine.llm import batches, leakage, markup, neardup, neighbours, packing, scans, sentences, splitting
+from corvine.llm import batches, languages, leakage, markup, neardup, neighbours, packing, scans, sentences, splitting
 
 QUERIES = {
     "p1_found": scans.found_query,
     "p1_repaired": scans.repaired_query,
+    "p2_found": languages.found_query,
+    "p2_segments": languages.segments_query,
     "p3_found": neardup.found_query,
     "p3_groups": neardup.groups_query,
     "p4_found": batches.found_query,
