@@ -28,7 +28,7 @@ class ChunkStore:
 
     def _pointer(self):
         jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current.json")
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current.json")
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _snapshot(self) -> str | None:
