@@ -374,7 +374,8 @@ def clean_text(a: Analysis) -> str:
 def markup_elements(df: DataFrame, key: list[str], text: str) -> DataFrame:
     """``(*key, kind, body)``, distinct: a row of kind residue for each markup
     language of an item, and a row for each heading, list item, code block and
-    formula. Items without markup, null and empty texts give no row; bodies have
+    formula. Escapes that Markdown and LaTeX share (``\\_``, ``\\#``) count as LaTeX.
+    Items without markup, null and empty texts give no row; bodies have
     single spaces; further columns are ignored, whatever their names."""
     names = [f"k{i}" for i in range(len(key))]
     d = df.selectExpr(*[f"`{k}` AS {n}" for k, n in zip(key, names)], f"`{text}` AS body").filter("body is not null")

@@ -204,7 +204,7 @@ class Model:
                 right[r] += n * p
                 no_r[r] += n * (1 - p)
                 yes += n * p
-            share = sum(ends.values()) / max(1.0, sum(ends.values()) + yes)
+            share = min(0.5, sum(ends.values()) / max(1.0, sum(ends.values()) + yes))
         self._left(times, last, ends, marks, share)
         self._right(right, no_r)
 
@@ -214,7 +214,7 @@ class Model:
         self.l, self.m = {}, {}
         for m in marks | ends:
             yes = min(marks[m] + 1.0, ends[m] * (1 - share) / share)
-            self.m[m] = (yes + 0.5) / (marks[m] - yes + 1.5)
+            self.m[m] = (yes + 4.0) / (marks[m] - yes + 2.0)
         for (l, m), n in times.items():
             p = self.m[m] / (1 + self.m[m])
             yes = min(float(n), last[l, m] * (1 - share) / share)
