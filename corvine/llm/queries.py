@@ -25,6 +25,13 @@ QUERIES = {
 }
 
 SQL = {
+    "p3_found": r"""
+        WITH c AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(content), '[\p{L}\p{N}_]+') AS w FROM chunks),
+        s AS (SELECT DISTINCT chunk_id, array_to_string(w[k : k + 2], ' ') AS g
+              FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS k FROM c WHERE len(w) >= 30)),
+        n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.chunk_id < b.chunk_id GROUP BY ALL)
+        SELECT p.a AS chunk_id_a, p.b AS chunk_id_b FROM p JOIN n x ON x.chunk_id = p.a JOIN n y ON y.chunk_id = p.b WHERE k / (x.n + y.n - k) >= 0.6""",
     "p5_found": """
         SELECT 'documents' AS src, CAST(doc_id AS VARCHAR) AS rec_id FROM documents WHERE length(text) // 4 > 450
         UNION SELECT 'chunks', chunk_id FROM chunks WHERE length(content) // 4 > 450""",
