@@ -17,6 +17,7 @@ QUERIES = {
     "p6_found": markup.found_query,
     "p6_clean": markup.clean_query,
     "p7_found": neighbours.found_query,
+    "p7_nearest": neighbours.nearest_query,
     "p8_packing": packing.packing_query,
     "p9_found": leakage.found_query,
     "p9_edited": leakage.edited_query,
