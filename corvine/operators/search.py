@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions.columns import whitespace_tokens
 from corvine.operators.ranked import top_k
+from corvine.storage import materialize, spread
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
 #: Query vectors a task holds at once; more queries go in further blocks.
@@ -85,10 +86,11 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: floa
     chunk. With ``keep_zero`` nothing changes for chunks without a query term:
     they have no row.
     """
-    tokens = corpus.select("chunk_id", F.coalesce(whitespace_tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    tokens = spread(corpus.select("chunk_id", "text")).select("chunk_id", F.coalesce(whitespace_tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
     q = queries.select("query_id", F.explode(whitespace_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     size = tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
     tf = tokens.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = materialize(tf, "terms")  # read twice
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf0 = df.crossJoin(F.broadcast(size)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf0"))  # one row of totals
     mean = idf0.agg(F.avg("idf0").alias("mean_idf"))
