@@ -427,6 +427,38 @@ def _(s, d):
     return read_table(s, d, "eval_items").select("item_id", filters.implied(F.col("text")).alias("f")).select("item_id", "f.*")
 
 
+SQL["adaptive_alpha"] = r"""WITH q AS (SELECT item_id, text, lower(text) AS low, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n,
+      len(list_filter(regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'), lambda x: lower(x) NOT IN ('what', 'why', 'how', 'which', 'when', 'where', 'who'))) AS names FROM eval_items),
+    a AS (SELECT item_id, 0.7 + CASE WHEN n > 12 THEN 0.10 WHEN n > 8 THEN 0.05 WHEN n <= 3 THEN -0.10 ELSE 0 END
+      + CASE WHEN regexp_matches(low, '\b(what|why|how|which|when|where|who|explain|describe|compare)\b') THEN 0.10 ELSE 0 END
+      + CASE WHEN regexp_matches(low, '"[^"]+"|\b(id|code|number|version|sku|isbn)\b') THEN -0.20 ELSE 0 END
+      + CASE WHEN regexp_matches(text, '\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b|\b\w+_\w+\b|\b\w+-\w+\b') THEN -0.10 ELSE 0 END
+      + CASE WHEN names >= 2 THEN 0.08 ELSE 0 END + CASE WHEN regexp_matches(text, '\b\d+\.?\d*\b') THEN -0.08 ELSE 0 END + CASE WHEN regexp_matches(text, '"[^"]+"') THEN -0.15 ELSE 0 END AS a FROM q),
+    c AS (SELECT item_id, round(CAST(greatest(0.2, least(0.95, a)) AS DOUBLE), 4) AS alpha FROM a)
+    SELECT item_id, alpha, CASE WHEN alpha >= 0.8 THEN 'semantic' WHEN alpha >= 0.6 THEN 'mostly semantic' WHEN alpha >= 0.4 THEN 'balanced' WHEN alpha >= 0.25 THEN 'mostly keyword' ELSE 'keyword' END AS band FROM c"""
+
+SQL["rule_router"] = r"""WITH q AS (SELECT item_id, text, lower(text) AS low, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM eval_items),
+    f AS (SELECT *, len(w) AS n, regexp_matches(low, 'what|which|how|why|when|where|who') AS asks,
+      len(regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+')) + len(regexp_extract_all(text, '\b(?:CEO|CTO|CFO|President|Director)\b')) + len(regexp_extract_all(text, '\b(?:Inc\.|Corp\.|LLC|Ltd\.)\b')) AS names FROM q)
+    SELECT item_id, CASE
+      WHEN regexp_matches(low, '\b(and|after|before)\b.*\b(what|how|why|when|where|who)|\b(relate|connect|compare|contrast)|difference between|relationship between|impact of.*on') THEN 'multi_hop'
+      WHEN names >= 2 THEN 'entity_centric'
+      WHEN regexp_matches(low, '\b(explore|investigate|find out|tell me about|learn about|understand|overview|summary|explain)\b') THEN 'exploratory'
+      WHEN (n <= 3 AND NOT asks) OR (n BETWEEN 2 AND 5 AND NOT asks AND NOT list_has_any(w, ['is', 'are', 'was', 'were', 'do', 'does', 'did', 'can', 'will', 'should'])) THEN 'vague_or_sparse'
+      WHEN (n > 10 AND asks) OR list_has_any(w, ['how', 'why']) THEN 'factual_complex' ELSE 'factual_simple' END AS route FROM f"""
+
+SQL["implied_filters"] = r"""SELECT item_id, CAST(nullif(regexp_extract(text, '\b((?:19|20)\d{2})\b', 1), '') AS INT) AS date_year, CAST(nullif(regexp_extract(lower(text), '\bq([1-4])\b', 1), '') AS INT) AS quarter,
+      CASE WHEN regexp_matches(lower(text), '\breport\b') THEN 'report' WHEN regexp_matches(lower(text), '\bmanual\b') THEN 'manual' WHEN regexp_matches(lower(text), '\binvoice\b') THEN 'invoice' WHEN regexp_matches(lower(text), '\bcontract\b') THEN 'contract'
+        WHEN regexp_matches(lower(text), '\bpolicy\b') THEN 'policy' WHEN regexp_matches(lower(text), '\bpresentation\b') THEN 'presentation' END AS doc_type,
+      nullif(regexp_extract(lower(text), 'in the (\w+) section', 1), '') AS section, regexp_matches(lower(text), '\btables?\b') AS is_table FROM eval_items"""
+
+SQL["sentence_extraction"] = rf"""WITH {CHUNK}, s AS (SELECT filename AS query_id, chunk_id, string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM c),
+    e AS (SELECT query_id, chunk_id, unnest(range(0, len(l))) AS pos, unnest(l) AS sentence FROM s),
+    o AS (SELECT *, len(list_intersect(['the', 'longest', 'paragraph', 'of', 'report'], list_filter(regexp_split_to_array(lower(sentence), '\s+'), lambda x: x <> ''))) AS overlap FROM e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY overlap DESC, pos) AS rank FROM o)
+    SELECT query_id, chunk_id, pos, sentence, overlap, rank FROM r WHERE rank <= 5"""
+
+
 # Graph.
 
 
