@@ -459,6 +459,16 @@ SQL["sentence_extraction"] = rf"""WITH {CHUNK}, s AS (SELECT filename AS query_i
     SELECT query_id, chunk_id, pos, sentence, overlap, rank FROM r WHERE rank <= 5"""
 
 
+SQL["extractive_summary"] = """SELECT doc_id, substring(concat_ws(': ', filename, array_to_string(list_filter(string_split(text, '. '), lambda s: trim(s, ' ') <> '')[1:3], '. ')), 1, 500) AS summary FROM documents WHERE text IS NOT NULL"""
+
+SQL["corrective_merge"] = SQL["confidence_grade"].replace("SELECT query_id, confidence, CASE", "g2 AS (SELECT query_id, CASE", 1).rsplit("FROM c", 1)[0].replace("FROM g)\n", "FROM g),\n") + """FROM c),
+    u AS (SELECT query_id, chunk_id, score FROM a WHERE rank <= 10 UNION ALL SELECT query_id, chunk_id, score FROM b WHERE rank <= 10),
+    m AS (SELECT query_id, chunk_id, max(score) AS score FROM u JOIN g2 USING (query_id) WHERE level IN ('low', 'very_low') GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM m),
+    o AS (SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10 UNION ALL SELECT query_id, chunk_id, score, rank FROM a JOIN g2 USING (query_id) WHERE rank <= 10 AND level NOT IN ('low', 'very_low'))
+    SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM o"""
+
+
 # Graph.
 
 
