@@ -43,6 +43,23 @@ def test_scan_frame(spark):
     assert scans.scan_noise(df.limit(0), ["id"], "text", lex).count() == 0
 
 
+@pytest.mark.parametrize("share", [None, 0.01])
+def test_scan_repairs_to_rare_words(spark, monkeypatch, share):
+    if share:  # as in a corpus so large that these words are none of the frequent ones
+        monkeypatch.setattr(scans, "KNOWN_SHARE", share)
+        monkeypatch.setattr(scans, "INDEX_SHARE", share)
+    filler = "\n".join(["all of the usual report was sent to the office"] * 100)
+    names = "\n".join(["we saw the vexdruok was open"] * 5 + ["so did report ycxdruok of office"] * 6)
+    page = "Then the vcxdruok was shut, and the l1m-\nhovvex too."
+    rows = [("f", filler), ("n", names), ("n2", "to limhovvex\n" * 4), ("p", page), ("q", "x" * 200 + " vcxdruok"), ("e", "")]
+    df = frame(spark, rows, "id string, text string")
+    lex = scans.learn(df, "text")
+    got = {tuple(r) for r in scans.scan_noise(df, ["id"], "text", lex).collect()}
+    assert got == {("p", 1, "char", "vexdruok"), ("p", 1, "hyphen", "limhovvex")}
+    clean = {r.id: r.clean for r in scans.repair_scans(df, ["id"], "text", lex).collect()}
+    assert clean["p"] == "Then the vexdruok was shut, and the limhovvex too." and clean["q"] == rows[4][1] and clean["e"] == "" and len(clean) == 6
+
+
 # 2
 
 SAMPLES = {
