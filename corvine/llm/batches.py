@@ -119,9 +119,9 @@ class BatchIndex:
         rep = batch.groupBy("coll", F.coalesce("fh", F.concat(F.lit("-"), F.col("entry_id").cast("string"))).alias("f"), "sid").agg(F.min("at").alias("at"), F.first("fh").alias("fh"))
         gone = rep.join(files.select("coll", "fh", F.lit(1).alias("e")).distinct(), ["coll", "fh"], "left").join(old.select("coll", "sid", F.lit(1).alias("o")), ["coll", "sid"], "left")
         state = materialize(gone.select("coll", "f", "sid", "fh", "at", F.when(F.col("e").isNotNull() | F.col("o").isNotNull(), F.lit("case")).otherwise(F.lit("open")).alias("s")), "state")
-        inner = mine.join(state.filter("s = 'open' and sid is not null").select("coll", "sid").distinct(), ["coll", "sid"], "left_semi")
-        inner_posts = self._posts(inner)
-        links = materialize(self._near(inner, inner_posts, inner, inner_posts).select("coll", "sid", "other", "share").union(inner.select("coll", "sid", F.col("sid").alias("other"), F.lit(1.0).alias("share"))).distinct(), "links")
+        # Any set may be most alike one accepted in this step, also where the history has a match; only open entries can be accepted.
+        inner = materialize(mine.join(state.filter("s = 'open' and sid is not null").select("coll", "sid").distinct(), ["coll", "sid"], "left_semi"), "inner")
+        links = materialize(self._near(mine, mine_posts, inner, self._posts(inner)).select("coll", "sid", "other", "share").union(inner.select("coll", "sid", F.col("sid").alias("other"), F.lit(1.0).alias("share"))).distinct(), "links")
         while True:
             state = materialize(self._round(state, links), "state")
             if state.filter("s = 'open'").isEmpty():

@@ -166,6 +166,20 @@ def test_batches_match_brute_force(spark, one_by_one):
         assert batches.check_batches(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("one_by_one", [False, True])
+def test_batches_prefer_the_stronger_new_match(spark, one_by_one):
+    hashes = lambda *x: str({f"k{i}": f"{n:064x}" for i, n in enumerate(x)}).replace("'", '"')
+    new, late = range(5, 16), [*range(1, 5), *range(5, 10)]
+    sets = [(1, 0, range(1, 9)), (2, 1, new), (3, 1, late), (4, 2, [*range(4, 15)])]
+    sets += [(11, 0, range(101, 109)), (12, 1, range(105, 117)), (13, 2, range(105, 118)), (14, 2, [*range(103, 117)]), (15, 1, [*range(101, 113)])]
+    sets += [(21, 0, range(201, 211)), (22, 1, range(206, 216)), (23, 2, range(203, 216))]
+    rows = [(i, b, "p", f"f{i}", None, None, hashes(*x), "2031-01-01") for i, b, x in sets]
+    df = frame(spark, rows, "entry_id bigint, batch_id int, collection_id string, filename string, file_hash string, chunk_ids string, chunk_hashes string, ingested_at string")
+    want = brute_force(rows)
+    assert (22, 23, "near") in want and len({x[0] for x in want}) > 2
+    assert {tuple(r) for r in batches.check_batches(df, one_by_one=one_by_one).collect()} == want
+
+
 # 5
 
 
