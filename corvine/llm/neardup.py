@@ -164,15 +164,53 @@ def item_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return within.unionByName(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, root)`` of the nodes of ``edges(u, v)`` with the least node each is
+    connected to; large and small stars in turn, so rounds grow with the logarithm
+    of the nodes. Every round is written out."""
+    e = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    state = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    last, now = None, state(e)
+    while now != last:
+        both = e.union(e.select("v", "u"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        e = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = materialize(e.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct(), "edges")
+        last, now = now, state(e)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def groups(df: DataFrame, key: str, text: str, members: DataFrame, links: DataFrame) -> DataFrame:
+    """``(item, cls, grp)``: every item with its class of equal texts and the
+    group of classes connected by links. Texts too short for a class are grouped
+    if they are equal; null texts have neither. An item with several texts has a
+    row for each of its classes."""
+    root = components(links.select(F.col("cls_a").alias("u"), F.col("cls_b").alias("v")))
+    usual = members.join(root.withColumnRenamed("node", "cls"), "cls", "left").select("item", "cls", F.coalesce("root", "cls").alias("grp"))
+    exact = df.select(F.col(f"`{key}`").alias("item"), F.when(F.col(f"`{text}`").isNotNull(), F.xxhash64(F.col(f"`{text}`"))).alias("cls")).distinct()
+    return usual.unionByName(exact.join(members.select("item"), "item", "left_anti").select("item", "cls", F.col("cls").alias("grp")))
+
+
 def found_query(spark: SparkSession, base: str) -> DataFrame:
     members, links = near_duplicates(chunks(spark, base), "rec_id", "text", width=3, threshold=0.6, min_words=30)
     return item_pairs(members, links).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
 def groups_query(spark: SparkSession, base: str) -> DataFrame:
-    """Documents with the class of equal texts they are in and its number of links."""
+    """Documents with the class of equal texts they are in, its number of links
+    and the group of classes connected by links."""
     from corvine.llm.common import documents
 
-    members, links = near_duplicates(documents(spark, base), "rec_id", "text")
+    d = documents(spark, base)
+    members, links = near_duplicates(d, "rec_id", "text")
     n = links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
-    return members.join(n, "cls", "left").select(F.col("item").cast("bigint").alias("doc_id"), F.col("cls").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    g = groups(d, "rec_id", "text", members, links).join(n, "cls", "left")
+    return g.select(F.col("item").cast("bigint").alias("doc_id"), F.col("cls").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.col("grp").alias("group_id"))
+
+
+def chunk_groups_query(spark: SparkSession, base: str) -> DataFrame:
+    """Every chunk with the group of chunks it is connected to by near-duplicates."""
+    c = chunks(spark, base)
+    members, links = near_duplicates(c, "rec_id", "text", width=3, threshold=0.6)
+    return groups(c, "rec_id", "text", members, links).select(F.col("item").alias("chunk_id"), F.col("grp").alias("group_id")).distinct()

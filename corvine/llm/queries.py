@@ -11,6 +11,7 @@ QUERIES = {
     "p2_segments": languages.segments_query,
     "p3_found": neardup.found_query,
     "p3_groups": neardup.groups_query,
+    "p3_chunk_groups": neardup.chunk_groups_query,
     "p4_found": batches.found_query,
     "p5_found": splitting.found_query,
     "p5_pieces": splitting.pieces_query,

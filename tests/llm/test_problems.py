@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from corvine.llm import batches, languages, leakage, markup, neardup, neighbours, packing, scans, sentences, splitting
+from corvine.llm import batches, languages, leakage, markup, neardup, neighbours, packing, queries, scans, sentences, splitting
 
 W = re.compile(r"\w+")
 
@@ -120,6 +120,20 @@ def test_near_duplicates_of_nothing(spark):
     assert members.count() == links.count() == 0
 
 
+def test_near_duplicate_groups_are_connected(spark):
+    assert "p3_chunk_groups" in queries.QUERIES
+    words = [f"w{i}" for i in range(100)]
+    chain = [" ".join(words[3 * k : 3 * k + 40]) for k in range(12)]  # neighbours are alike, the ends have nothing in common
+    rows = [(f"c{k:02}", t) for k, t in enumerate(random.Random(3).sample(chain, 12))] + [("x", "some other text of no chain"), ("y", "短い"), ("z", "短い"), ("e", ""), ("f", ""), ("n", None)]
+    df = frame(spark, rows + rows[:2], "id string, text string")
+    members, links = neardup.near_duplicates(df, "id", "text", width=3, threshold=0.6)
+    got = neardup.groups(df, "id", "text", members, links).collect()
+    grp = {r.item: r.grp for r in got}
+    assert len(got) == len(grp) == 18 and grp["n"] is None
+    assert len({grp[f"c{k:02}"] for k in range(12)}) == 1 and grp["y"] == grp["z"] and grp["e"] == grp["f"]
+    assert len({grp["c00"], grp["x"], grp["y"], grp["e"]}) == 4
+
+
 # 4
 
 
