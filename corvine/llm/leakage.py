@@ -1,15 +1,15 @@
 """Problem 9: passages of evaluation items inside corpus documents.
 
-Every item is cut into all its windows of ``run`` words. A random walk over a
-window's words (CGK embedding) turns edit distance into Hamming distance, a
-hash of sampled positions of the embedding is its key, and several repetitions
-reach the target recall. Windows of the documents take the same walks; equal
-keys are candidates, and each is verified word by word.
+Every item is cut into all its windows of ``run`` words. Without edits a random
+walk over a window's words (CGK embedding) with sampled positions hashed is its
+key; windows of the documents take the same walk, equal keys are candidates, and
+each is verified word by word. With edits a window is cut into one part more than
+there may be edits: one part at least stands unchanged in the document and is
+looked up by hash, and the window is aligned to the words around it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -24,21 +24,6 @@ from corvine.llm.common import WORD, cut_batches, read_table, spread
 BLOCK_CHARS = 4_000_000
 
 
-def repetitions(max_edits: int, run: int, recall: float, sampled: int) -> int:
-    """Walks needed so that two windows ``max_edits`` apart share a key with
-    probability ``recall``.
-
-    After an edit a walk finds back into step after a time that is itself
-    random; about half of all walks differ at no more than ``3 * edits``
-    positions of ``3 * run``. Without edits the walks are equal and one will do.
-    """
-    if max_edits == 0:
-        return 1
-    apart = min(0.9, max_edits / run)
-    p = 0.5 * (1 - apart) ** sampled
-    return math.ceil(math.log(1 - recall) / math.log(1 - p))
-
-
 class Walks:
     """CGK embeddings of word windows with sampled positions hashed to keys."""
 
@@ -66,32 +51,45 @@ class Walks:
         return key
 
 
-def edit_distance(a: list[int], b: list[int], limit: int) -> int:
-    """Edit distance of two word lists, or ``limit + 1`` if it is larger."""
-    if abs(len(a) - len(b)) > limit:
-        return limit + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        best = i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-            best = min(best, row[j])
-        if best > limit:
-            return limit + 1
-    return row[-1]
+def aligned(at: np.ndarray, begin: np.ndarray, item_ids: np.ndarray, starts: np.ndarray, run: int, edits: int) -> np.ndarray:
+    """Whether each item window ``item_ids[start : start + run]`` is at most
+    ``edits`` words inserted, dropped or changed from any stretch of ``at`` about
+    ``begin`` (``edits`` words sooner or later, of any length)."""
+    item = item_ids[starts[:, None] + np.arange(run)]
+    row = np.broadcast_to(np.arange(run + 1, dtype=np.int16), (len(begin), run + 1)).copy()
+    best = row[:, run].copy()
+    for i in range(-edits, run + 2 * edits):
+        where = begin + i
+        word = np.where((where >= 0) & (where < len(at)), at[np.clip(where, 0, len(at) - 1)], -1)
+        new = np.empty_like(row)
+        new[:, 0] = 0
+        change = row[:, :-1] + (item != word[:, None])
+        for j in range(1, run + 1):
+            new[:, j] = np.minimum(np.minimum(change[:, j - 1], row[:, j] + 1), new[:, j - 1] + 1)
+        row = new
+        best = np.minimum(best, row[:, run])
+    return best <= edits
+
+
+def _grams(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """A hash of ``size`` words from each start."""
+    key = np.zeros(len(starts), dtype=np.int64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            key = (key ^ (ids[starts + k] + 2)) * np.int64(0x1E3779B97F4A7C15)
+            key ^= key >> 29
+    return key
 
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    run: int = 10, max_edits: int = 0, recall: float = 0.95, sampled: int = 8, seed: int = 9,
+    run: int = 10, max_edits: int = 0, sampled: int = 8, seed: int = 9,
 ) -> DataFrame:
     """``(doc_id, item_id)`` of documents holding ``run`` successive words of an
     item, up to ``max_edits`` words inserted, dropped or changed among them.
 
     Words are runs of letters, digits and underscores of the lower-cased text.
-    Without edits the result is exact; with edits pairs come out with
-    probability ``recall`` or more and each is verified. Items shorter than
+    The result is exact. ``max_edits`` is below ``run``. Items shorter than
     ``run`` words, null and empty texts match nothing; repeated rows count
     once; further columns are ignored, whatever their names. The items are a
     query set: they go in blocks of at most ``BLOCK_CHARS`` characters, each
@@ -99,7 +97,7 @@ def find_leaks(
     """
     spark = docs.sparkSession
     queries = items.select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{item_text}`").alias("body")).filter("item is not null and body is not null").distinct()
-    d = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("body")).filter(f"char_length(body) >= {2 * run - 1}")
+    d = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("body")).filter(f"char_length(body) >= {2 * (run - max_edits) - 1}")
     kinds = {"doc": dict(d.dtypes)["doc"], "item": dict(queries.dtypes)["item"]}
     found = None
     block: list[tuple] = []
@@ -113,13 +111,14 @@ def find_leaks(
         held += len(row.body)
     blocks.append(block)
     for one in blocks:
-        part = _scan(d, one, kinds, run, max_edits, recall, sampled, seed)
+        part = _scan(d, one, kinds, run, max_edits, sampled, seed)
         found = part if found is None else found.unionByName(part)
     return found.distinct().select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
-def _scan(d: DataFrame, block: list[tuple], kinds: dict, run: int, max_edits: int, recall: float, sampled: int, seed: int) -> DataFrame:
-    walks = Walks(run, repetitions(max_edits, run, recall, sampled), sampled, seed, max_edits)
+def _scan(d: DataFrame, block: list[tuple], kinds: dict, run: int, max_edits: int, sampled: int, seed: int) -> DataFrame:
+    walks = Walks(run, 1, sampled, seed, max_edits)
+    size = run // (max_edits + 1)
     vocabulary: dict[str, int] = {}
     ids: list[int] = []
     owner: list[int] = []
@@ -131,8 +130,8 @@ def _scan(d: DataFrame, block: list[tuple], kinds: dict, run: int, max_edits: in
         owner += [k] * len(words)
     item_ids, item_starts = np.asarray(ids, dtype=np.int64), np.asarray(starts, dtype=np.int64)
     tables = []
-    for w in range(len(walks.picks)):
-        keys = walks.keys(item_ids, item_starts, w) if len(starts) else np.zeros(0, np.int64)
+    for w in range(max_edits + 1):
+        keys = np.zeros(0, np.int64) if not starts else _grams(item_ids, item_starts + w * size, size) if max_edits else walks.keys(item_ids, item_starts, w)
         order = np.argsort(keys, kind="stable")
         tables.append((keys[order], item_starts[order]))
     names = [x for x, _ in block]
@@ -148,16 +147,18 @@ def _scan(d: DataFrame, block: list[tuple], kinds: dict, run: int, max_edits: in
                 flat.extend(_GAP[: max_edits + 1])
                 ends.append(len(flat))
             at = np.asarray(flat, dtype=np.int64)
-            if len(at) < run:
+            length = size if max_edits else run
+            if len(at) < length:
                 continue
-            # A word that no item has costs an edit; a document's end costs too many.
+            # A word that no item has is in no unchanged part.
             foreign = np.concatenate([[0], np.cumsum(at < 0)])
-            begin = np.flatnonzero(foreign[run:] - foreign[:-run] <= max_edits)
+            begin = np.flatnonzero(foreign[length:] == foreign[:-length])
+            grams = _grams(at, begin, size) if max_edits else None
             rows: set[tuple[int, int]] = set()
             for w, (keys, where) in enumerate(tables):
                 if not len(begin) or not len(keys):
                     break
-                mine = walks.keys(at, begin, w)
+                mine = grams if max_edits else walks.keys(at, begin, w)
                 lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
                 hit = np.flatnonzero(hi > lo)
                 width = (hi - lo)[hit]
@@ -167,7 +168,9 @@ def _scan(d: DataFrame, block: list[tuple], kinds: dict, run: int, max_edits: in
                 if max_edits == 0:
                     good = (at[a[:, None] + np.arange(run)] == item_ids[b[:, None] + np.arange(run)]).all(axis=1)
                 else:
-                    good = np.fromiter((edit_distance(at[x : x + run].tolist(), item_ids[y : y + run].tolist(), max_edits) <= max_edits for x, y in zip(a.tolist(), b.tolist())), dtype=bool, count=len(a))
+                    a = a - w * size
+                    good = np.concatenate([aligned(at, a[x : x + 50_000], item_ids, b[x : x + 50_000], run, max_edits) for x in range(0, len(a), 50_000)] or [np.zeros(0, dtype=bool)])
+                    a = a + w * size
                 doc = np.searchsorted(np.asarray(ends), a[good], side="right")
                 rows.update(zip(doc.tolist(), (owner[y] for y in b[good].tolist())))
             if rows:

@@ -325,6 +325,22 @@ def test_leaks_match_brute_force(spark):
     assert leakage.find_leaks(df, it.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("inserted, dropped, changed", [(2, 0, 0), (0, 2, 0), (1, 0, 1), (1, 1, 0), (0, 1, 1), (0, 0, 2), (3, 0, 0), (0, 3, 0)])
+def test_leaks_with_edits(spark, inserted, dropped, changed):
+    rnd = random.Random(19)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(13))) for i in range(60)]
+    docs = []
+    for i, t in items:
+        x = t.split()
+        at = sorted(rnd.sample(range(2, 11), inserted + dropped + changed), reverse=True)
+        for n, k in enumerate(at):
+            x[k : k + 1] = [x[k], "new"] if n < inserted else [] if n < inserted + dropped else ["other"]
+        docs.append((i, " ".join(["before"] * (i % 3) + x + ["after"] * (i % 2))))
+    df, it = frame(spark, docs, "doc_id bigint, text string"), frame(spark, items, "item_id bigint, text string")
+    got = {tuple(r) for r in leakage.find_leaks(df, it, run=13, max_edits=2, sampled=5).collect()}
+    assert got == ({(i, i) for i, _ in items} if inserted + dropped + changed == 2 else set())
+
+
 # 10
 
 
