@@ -1,24 +1,35 @@
 """Problem 4: checking new batches against everything accepted before.
 
 The accepted history lives in an index of three growing tables: file hashes,
-distinct chunk sets, and postings of each set's rare-token prefix. A batch
-probes the postings with its own prefixes, filters by length and position,
-verifies the overlap, settles what its own entries mean for each other, and
-appends what was accepted. The history's entries are never read again.
+distinct chunk sets, and postings of each set's rare-token prefix in folders by
+token. A batch probes the postings with its own prefixes, filters by length and
+position, verifies the overlap, settles what its own entries mean for each
+other, and appends what was accepted. Batches go one after another; the
+history's entries are never read again.
 """
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm.common import materialize, read_table
+from corvine.llm.common import bounded, materialize, read_table, shared_dir
 
 #: Share of common chunk hashes from which two entries are near duplicates.
 SHARE = 0.5
+#: Folders into which postings go by token (at most 63), and the size of a batch up to which it is broadcast.
+PARTS, BROADCAST_BYTES = 16, 32 << 20
+
+_ACC = "acc struct<batch_id:int,entry_id:bigint>"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def hexadecimal(c: Column) -> Column:
@@ -46,29 +57,67 @@ def entries(registry: DataFrame) -> DataFrame:
 
 
 class BatchIndex:
-    """The accepted history. ``build`` takes the first of it, ``step`` a batch.
+    """The accepted history in a folder. ``build`` takes the first of it, ``step``
+    a batch, ``open`` goes on with a folder of before.
+
+    The folder has generations, one for each call of ``build`` or ``step``, each
+    with three tables: ``files`` (least entry of a file hash), ``sets`` (distinct
+    chunk sets) and ``posts``, the postings of the sets' rare-token prefixes in
+    ``parts`` folders by token. A generation counts once its mark is in ``done``.
+    A step reads the folders its tokens are in and joins them with its own rows,
+    which are broadcast if small; the history is never shuffled and never
+    written again.
 
     Tokens are ordered by their number of sets in the first history, rarest
     first; that order never changes, so prefixes stay comparable for ever.
     """
 
-    def __init__(self, spark: SparkSession, share: float = SHARE):
-        self.spark, self.share = spark, share
-        self.files: list[DataFrame] = []
-        self.sets: list[DataFrame] = []
-        self.posts: list[DataFrame] = []
-        self.common: DataFrame | None = None
+    def __init__(self, spark: SparkSession, share: float = SHARE, path: str | None = None, parts: int = PARTS):
+        self.spark, self.share, self.parts = spark, share, parts
+        self.path = path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        self.done: list[str] = []
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> BatchIndex:
+        """The index in a folder, with all generations that were completed."""
+        p, fs = _hadoop(spark, f"{path}/done")
+        names = sorted(x.getPath().getName() for x in fs.listStatus(p))
+        share, parts = names[0].split("_")[1:]
+        index = cls(spark, float(share), path, int(parts))
+        index.done = names
+        return index
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{g}") for g in self.done])
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64("coll", "tok"), F.lit(self.parts)).cast("int")
+
+    def _write(self, df: DataFrame, name: str, generation: str) -> None:
+        to = f"{self.path}/{name}/{generation}"
+        if "tok" not in df.columns:
+            return df.write.mode("overwrite").parquet(to)
+        df = df.withColumn("part", self._part())
+        return df.repartition("part").sortWithinPartitions("part", "tok").write.mode("overwrite").partitionBy("part").parquet(to)
 
     def build(self, history: DataFrame) -> None:
         """Accept every entry of ``history`` without a check."""
-        sets = history.filter("sid is not null").groupBy("coll", "sid").agg(F.first("toks").alias("toks"), F.min("at").alias("acc"))
-        sets = materialize(sets, "sets")
-        self.common = materialize(sets.select("coll", F.explode("toks").alias("tok")).groupBy("coll", "tok").count().filter("count > 1").withColumnRenamed("count", "df"), "common")
-        self._append(history, self._ordered(sets))
+        sets = materialize(history.filter("sid is not null").groupBy("coll", "sid").agg(F.first("toks").alias("toks"), F.min("at").alias("acc")), "sets")
+        tokens = sets.select("coll", F.explode("toks").alias("tok")).groupBy("coll", "tok").count().filter("count > 1").withColumnRenamed("count", "df")
+        self._write(tokens, "common", "all")
+        self._append(history, self._ordered(sets, self._common()))
 
-    def _ordered(self, sets: DataFrame) -> DataFrame:
+    def _common(self) -> DataFrame:
+        return self.spark.read.schema("coll string, tok bigint, df bigint, part int").parquet(f"{self.path}/common/all")
+
+    def _folders(self, table: DataFrame, found: list[int]) -> DataFrame:
+        """The table's folders of some numbers."""
+        return table if len(found) == self.parts else table.filter(F.col("part").isin(found))
+
+    @staticmethod
+    def _ordered(sets: DataFrame, common: DataFrame) -> DataFrame:
         """Token arrays put into the fixed order, rarest first."""
-        t = sets.select("coll", "sid", "acc", F.explode("toks").alias("tok")).join(self.common, ["coll", "tok"], "left")
+        t = sets.select("coll", "sid", "acc", F.explode("toks").alias("tok")).join(common.select("coll", "tok", "df"), ["coll", "tok"], "left")
         ordered = t.groupBy("coll", "sid", "acc").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("a"))
         return ordered.select("coll", "sid", "acc", F.col("a.tok").alias("toks"))
 
@@ -79,66 +128,90 @@ class BatchIndex:
         prefix = n - F.ceil(n * self.share).cast("int") + 1
         return sets.select("coll", "sid", n.alias("n"), F.posexplode(F.slice("toks", 1, prefix)).alias("pos", "tok"))
 
-    def _append(self, accepted: DataFrame, sets: DataFrame) -> None:
+    def _append(self, accepted: DataFrame, sets: DataFrame, *others) -> list:
+        """Write a generation and mark it as done; ``others`` run beside it."""
+        generation = f"{len(self.done):06}_{self.share}_{self.parts}"
         files = accepted.filter("fh is not null").groupBy("coll", "fh").agg(F.min("at").alias("acc"))
-        with ThreadPoolExecutor(3) as pool:
-            new = list(pool.map(materialize, (files, sets, self._posts(sets)), ("files", "sets", "posts")))
-        for table, part in zip((self.files, self.sets, self.posts), new):
-            table.append(part)
+        tables = [(files, "files"), (sets, "sets"), (self._posts(sets), "posts")]
+        with ThreadPoolExecutor(4) as pool:
+            more = [pool.submit(x) for x in others]
+            list(pool.map(lambda t: self._write(*t, generation), tables))
+            results = [x.result() for x in more]
+        p, fs = _hadoop(self.spark, f"{self.path}/done/{generation}")
+        fs.create(p, True).close()
+        self.done.append(generation)
+        return results
 
     def _near(self, mine: DataFrame, mine_posts: DataFrame, theirs: DataFrame, their_posts: DataFrame) -> DataFrame:
-        """``(coll, sid, other, acc, share)`` of sets alike, ``acc`` from theirs."""
+        """``(coll, sid, other, acc, share)`` of sets alike, ``acc`` from theirs.
+        Only ``mine`` and what it meets moves."""
         a, b = mine_posts.alias("a"), their_posts.alias("b")
         need = F.ceil(self.share / (1 + self.share) * (F.col("a.n") + F.col("b.n")) - 1e-9)
         rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
         same = (F.col("a.coll") == F.col("b.coll")) & (F.col("a.tok") == F.col("b.tok"))
         # One common token is enough only for the smallest sets; all others need
         # another token after it, so a common last token never brings them together.
-        ahead = same & (F.col("a.pos") < F.col("a.n") - 1) & (F.col("b.pos") < F.col("b.n") - 1)
+        ahead = (F.col("a.pos") < F.col("a.n") - 1) & (F.col("b.pos") < F.col("b.n") - 1) & (F.col("b.n") >= F.col("a.n") * self.share) & (F.col("b.n") * self.share <= F.col("a.n")) & (rest >= need)
         tiny = int((1 + self.share) / self.share + 1e-9)
-        pairs = []
-        for left, right, on in (
-            (a.filter("pos < n - 1"), b.filter("pos < n - 1"), ahead & (F.col("b.n") >= F.col("a.n") * self.share) & (F.col("b.n") * self.share <= F.col("a.n")) & (rest >= need)),
-            (a.filter("n = 1"), b.filter(F.col("n") <= tiny - 1), same),
-            (a.filter((F.col("n") > 1) & (F.col("n") <= tiny - 1)), b.filter("n = 1"), same),
-        ):
-            pairs.append(left.join(right, on).select("a.coll", "a.sid", F.col("b.sid").alias("other")))
-        pair = reduce(DataFrame.union, pairs).distinct()
-        p = pair.join(mine.select("coll", "sid", F.col("toks").alias("x")), ["coll", "sid"]).join(theirs.select("coll", F.col("sid").alias("other"), "acc", F.col("toks").alias("y")), ["coll", "other"])
+        single = ((F.col("a.n") == 1) & (F.col("b.n") <= tiny - 1)) | ((F.col("b.n") == 1) & (F.col("a.n") <= tiny - 1))
+        pair = materialize(b.join(a, same & (ahead | single)).select("a.coll", "a.sid", F.col("b.sid").alias("other")).distinct(), "pairs")
+        p = theirs.select("coll", F.col("sid").alias("other"), "acc", F.col("toks").alias("y")).join(bounded(pair), ["coll", "other"])
+        p = p.join(mine.select("coll", "sid", F.col("toks").alias("x")), ["coll", "sid"])
         both = F.size(F.array_intersect("x", "y"))
         p = p.withColumn("share", both / (F.size("x") + F.size("y") - both))
         return p.filter(F.col("share") >= self.share).select("coll", "sid", "other", "acc", "share")
 
     def step(self, batch: DataFrame) -> DataFrame:
         """``(match_id, entry_id, how)`` of the batch's cases; the rest is accepted."""
-        files, sets, posts = (reduce(DataFrame.unionByName, x) for x in (self.files, self.sets, self.posts))
-        mine = materialize(self._ordered(batch.filter("sid is not null").groupBy("coll", "sid").agg(F.first("toks").alias("toks"), F.min("at").alias("acc"))), "mine")
+        files, sets = self._table("files", f"coll string, fh string, {_ACC}"), self._table("sets", f"coll string, sid bigint, {_ACC}, toks array<bigint>")
+        posts = self._table("posts", "coll string, sid bigint, n int, pos int, tok bigint, part int")
+        own_sets = batch.filter("sid is not null").groupBy("coll", "sid").agg(F.first("toks").alias("toks"), F.min("at").alias("acc"))
+        # All that the step joins with the history is made of the batch, and no larger than its tokens and hashes.
+        part_bit = f"shiftleft(1L, cast(pmod(xxhash64(coll, t), {self.parts}) as int))"
+        size, bits = batch.agg(F.coalesce(F.sum(F.lit(120) + F.coalesce(F.size("toks"), F.lit(0)) * 60), F.lit(0)), F.expr(f"coalesce(bit_or(aggregate(toks, 0L, (s, t) -> s | {part_bit})), 0L)")).first()
+        found = [k for k in range(self.parts) if bits >> k & 1]
+        few = F.broadcast if size <= BROADCAST_BYTES else lambda df: df
+        own_toks = own_sets.select("coll", F.explode("toks").alias("tok")).distinct()
+        common = self._folders(self._common(), found).join(few(own_toks), ["coll", "tok"], "left_semi")
+        mine = materialize(self._ordered(own_sets, few(common)), "mine")
         mine_posts = self._posts(mine)
-        old = materialize(self._near(mine, mine_posts, sets, posts).groupBy("coll", "sid").agg(F.min(F.struct((-F.col("share")).alias("s"), "acc")).alias("x")).select("coll", "sid", (-F.col("x.s")).alias("share"), "x.acc"), "old")
+
+        def best_old() -> DataFrame:
+            best = self._near(few(mine), few(mine_posts), sets, self._folders(posts, found)).groupBy("coll", "sid").agg(F.min(F.struct((-F.col("share")).alias("s"), "acc")).alias("x"))
+            return materialize(best.select("coll", "sid", (-F.col("x.s")).alias("share"), "x.acc"), "old")
+
+        def links_of_the_batch() -> DataFrame:
+            own = mine.select("coll", "sid", F.col("sid").alias("other"), F.lit(1.0).alias("share"))
+            return materialize(self._near(few(mine), few(mine_posts), mine, mine_posts).select("coll", "sid", "other", "share").union(own).distinct(), "links")
+
+        def old_files() -> DataFrame:
+            hashes = few(batch.filter("fh is not null").select("coll", "fh").distinct())
+            return materialize(files.join(hashes, ["coll", "fh"], "left_semi").groupBy("coll", "fh").agg(F.min("acc").alias("acc")), "hits")
+
+        with ThreadPoolExecutor(3) as pool:
+            old, links, known = (x.result() for x in [pool.submit(f) for f in (best_old, links_of_the_batch, old_files)])
         # Entries alike in file and chunks stand or fall with the first of them.
         rep = batch.groupBy("coll", F.coalesce("fh", F.concat(F.lit("-"), F.col("entry_id").cast("string"))).alias("f"), "sid").agg(F.min("at").alias("at"), F.first("fh").alias("fh"))
-        gone = rep.join(files.select("coll", "fh", F.lit(1).alias("e")).distinct(), ["coll", "fh"], "left").join(old.select("coll", "sid", F.lit(1).alias("o")), ["coll", "sid"], "left")
-        state = materialize(gone.select("coll", "f", "sid", "fh", "at", F.when(F.col("e").isNotNull() | F.col("o").isNotNull(), F.lit("case")).otherwise(F.lit("open")).alias("s")), "state")
-        # Any set may be most alike one accepted in this step, also where the history has a match; only open entries can be accepted.
-        inner = materialize(mine.join(state.filter("s = 'open' and sid is not null").select("coll", "sid").distinct(), ["coll", "sid"], "left_semi"), "inner")
-        links = materialize(self._near(mine, mine_posts, inner, self._posts(inner)).select("coll", "sid", "other", "share").union(inner.select("coll", "sid", F.col("sid").alias("other"), F.lit(1.0).alias("share"))).distinct(), "links")
+        gone = rep.join(known.select("coll", "fh", F.lit(1).alias("e")), ["coll", "fh"], "left").join(old.select("coll", "sid", F.lit(1).alias("o")), ["coll", "sid"], "left")
+        state = gone.select("coll", "f", "sid", "fh", "at", F.when(F.col("e").isNotNull() | F.col("o").isNotNull(), F.lit("case")).otherwise(F.lit("open")).alias("s"))
         while True:
             state = materialize(self._round(state, links), "state")
             if state.filter("s = 'open'").isEmpty():
                 break
-        taken = state.filter("s = 'accepted'")
-        accepted = materialize(batch.join(taken.select("at.entry_id"), "entry_id", "left_semi"), "accepted")
-        cases = batch.join(accepted.select("entry_id"), "entry_id", "left_anti")
-        all_files = files.unionByName(accepted.filter("fh is not null").select("coll", "fh", F.col("at").alias("acc"))).groupBy("coll", "fh").agg(F.min("acc").alias("file_match"))
+        taken = state.filter("s = 'accepted'").select(F.col("at.entry_id").alias("entry_id"))
+        accepted = batch.join(taken, "entry_id", "left_semi")
+        cases = batch.join(taken, "entry_id", "left_anti")
+        own_files = accepted.filter("fh is not null").select("coll", "fh", F.col("at").alias("acc"))
+        all_files = known.unionByName(own_files).groupBy("coll", "fh").agg(F.min("acc").alias("file_match"))
         own = accepted.filter("sid is not null").groupBy("coll", "sid").agg(F.min("at").alias("acc"))
+        # The best match may be one accepted in this step, also where the history has one.
         new = links.join(own.withColumnRenamed("sid", "other"), ["coll", "other"]).select("coll", "sid", "share", "acc")
         c = cases.join(all_files, ["coll", "fh"], "left")
         near = cases.join(old.unionByName(new), ["coll", "sid"]).filter("acc < at").groupBy("entry_id").agg(F.min(F.struct((-F.col("share")).alias("s"), "acc")).alias("x")).select("entry_id", F.col("x.acc.entry_id").alias("near_match"))
         exact = (F.col("file_match").isNotNull()) & (F.col("file_match") < F.col("at"))
         result = c.join(near, "entry_id", "left").select(F.when(exact, F.col("file_match.entry_id")).otherwise(F.col("near_match")).alias("match_id"), "entry_id", F.when(exact, F.lit("exact")).otherwise(F.lit("near")).alias("how"))
-        result = result.filter("match_id is not null")
-        self._append(accepted, mine.join(own.select("coll", "sid", F.col("acc").alias("a")), ["coll", "sid"]).select("coll", "sid", F.col("a").alias("acc"), "toks"))
-        return result
+        appended = mine.join(own.select("coll", "sid", F.col("acc").alias("a")), ["coll", "sid"]).select("coll", "sid", F.col("a").alias("acc"), "toks")
+        return self._append(accepted, appended, lambda: materialize(result.filter("match_id is not null"), "cases"))[0]
 
     @staticmethod
     def _round(state: DataFrame, links: DataFrame) -> DataFrame:
@@ -154,24 +227,25 @@ class BatchIndex:
         return x.select("coll", "f", "sid", "fh", "at", s.alias("s"))
 
 
-def check_batches(registry: DataFrame, share: float = SHARE, one_by_one: bool = False) -> DataFrame:
-    """``(match_id, entry_id, how)``: batch 0 builds the index, the others step
-    into it.
+def check_batches(registry: DataFrame, share: float = SHARE, one_by_one: bool = True) -> DataFrame:
+    """``(match_id, entry_id, how)``: batch 0 builds the index, each later one
+    steps into it and is appended.
 
-    All batches waiting are taken in one step, which settles their entries in
-    the order of arrival; ``one_by_one`` gives each a step of its own, with the
-    same result. Replayed rows count once; null file hashes and null or empty
-    chunk hashes match nothing; a null collection is one collection; rows without
-    entry_id or batch_id are left out; an empty table gives no rows; further
-    columns are ignored.
+    Without ``one_by_one`` all waiting batches go in one step, with the same
+    result, since a step settles its entries in the order of arrival. Replayed
+    rows count once; null file hashes and null or empty chunk hashes match
+    nothing; a null collection is one collection; rows without entry_id or
+    batch_id are left out; an empty table gives no rows; further columns are
+    ignored.
     """
     spark = registry.sparkSession
-    e = materialize(entries(registry), "entries")
+    e = materialize(entries(registry).withColumn("of", F.col("batch_id")), "entries", by="of")
     index = BatchIndex(spark, share)
-    index.build(e.filter("batch_id = 0"))
-    if not one_by_one:
-        return index.step(e.filter("batch_id > 0"))
-    found = [index.step(e.filter(F.col("batch_id") == b)) for (b,) in sorted(e.filter("batch_id > 0").select("batch_id").distinct().collect())]
+    index.build(e.filter("of = 0").drop("of"))
+    waiting = [r[0] for r in e.filter("of > 0").select("of").distinct().orderBy("of").collect()]  # numbers of batches
+    if not one_by_one and waiting:
+        return index.step(e.filter("of > 0").drop("of"))
+    found = [index.step(e.filter(F.col("of") == b).drop("of")) for b in waiting]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "match_id bigint, entry_id bigint, how string")
 
 

@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.storage import materialize, read_table, shared_dir, spread
+from corvine.storage import bounded, discard, materialize, read_table, shared_dir, spread
 
-__all__ = ["WORD", "cut_batches", "documents", "materialize", "read_table", "records", "shared_dir", "spread", "to_arrow"]
+__all__ = ["WORD", "bounded", "cut_batches", "discard", "documents", "materialize", "read_table", "records", "shared_dir", "spread", "to_arrow"]
 
 WORD = re.compile(r"\w+")
 

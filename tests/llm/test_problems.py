@@ -194,6 +194,25 @@ def test_batches_prefer_the_stronger_new_match(spark, one_by_one):
     assert {tuple(r) for r in batches.check_batches(df, one_by_one=one_by_one).collect()} == want
 
 
+def test_index_goes_on_from_its_folder(spark, tmp_path):
+    rows = registry(random.Random(14), 120)
+    schema = "entry_id bigint, batch_id int, collection_id string, filename string, file_hash string, chunk_ids string, chunk_hashes string, ingested_at string"
+    e = batches.entries(frame(spark, rows, schema)).cache()
+    path = f"file://{tmp_path}/index"
+    index = batches.BatchIndex(spark, path=path, parts=4)
+    index.build(e.filter("batch_id = 0"))
+    got = {tuple(r) for r in index.step(e.filter("batch_id = 1")).collect()}
+    for b in (2, 3):
+        got |= {tuple(r) for r in batches.BatchIndex.open(spark, path).step(e.filter(f"batch_id = {b}")).collect()}
+    assert got == brute_force(rows)
+    (tmp_path / "index" / "sets" / "000009_0.5_4").mkdir()  # a generation that was not completed
+    again = batches.BatchIndex.open(spark, path)
+    assert len(again.done) == 4
+    part = batches.F.col("part")
+    plan = again._folders(again._table("posts", "coll string, sid bigint, n int, pos int, tok bigint, part int"), [1, 2]).filter(part >= 0)._jdf.queryExecution().toString()
+    assert "part" in plan.split("PartitionFilters")[1][:120]
+
+
 # 5
 
 
