@@ -1,16 +1,20 @@
 """Problem 3: near-duplicate texts by a MinHash LSH forest.
 
 A text is the set of its word sequences of a given length. Each tree of the
-forest orders all texts by a label of MinHash values of its own; two texts
-meeting in the first ``depth`` values of a label are candidates. Labels are as
-long as the trees allow: the prefix is shortened from the full label just until
-the trees together reach the target recall at the threshold, since every value
-less brings many more candidates. All candidates are verified on the sets.
+forest gives every text a label of MinHash values of its own, and sorted labels
+are a prefix trie: texts that share a prefix stand together. Two texts are
+candidates if they share a prefix that is long enough. How long that is the trie
+decides node by node: it is shortened from the full label as long as the node
+stays small, down to the depth at which all trees together reach the target
+recall at the threshold. Texts in nodes too crowded to be shortened that far,
+as boilerplate makes them, are joined exactly by prefixes of rare sequences
+instead, so no pair is lost. All candidates are verified on the sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm.common import WORD, chunks, cut_batches, materialize
+from corvine.llm.common import WORD, bounded, chunks, cut_batches, materialize
 
-#: Candidate texts up to which their ids are broadcast to filter the second scan (8 bytes each).
-BROADCAST_IDS = 1_000_000
+#: Texts in a node of a trie from which its prefix is not shortened further.
+CROWD = 1000
+#: Values in a label. With the tree's number, a byte each, they make up 64 bits.
+LABEL = 7
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -67,34 +73,149 @@ def class_id(s: np.ndarray) -> int:
 
 
 class Forest:
-    def __init__(self, trees: int, depth: int, seed: int):
+    """Labels of ``LABEL`` MinHash values, a byte each, behind the tree's number."""
+
+    def __init__(self, trees: int, seed: int):
+        if trees > 256:
+            raise ValueError("at most 256 trees")
         rng = np.random.default_rng(seed)
-        self.trees, self.depth = trees, depth
-        n = trees * depth
+        self.trees = trees
+        n = trees * LABEL
         self.a = (rng.integers(0, 1 << 32, size=n, dtype=np.uint64).astype(np.uint32)) | np.uint32(1)
         self.b = rng.integers(0, 1 << 32, size=n, dtype=np.uint64).astype(np.uint32)
-        self.mix = rng.integers(0, 1 << 62, size=(trees, depth + 1), dtype=np.uint64) | np.uint64(1)
 
     def labels(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """A row per set (``flat`` cut at ``starts``) with the prefix of each tree as one value."""
+        """A row per set (``flat`` cut at ``starts``) with its label in each tree."""
         low = ((flat * _B) >> np.uint64(32)).astype(np.uint32)
         out = np.empty((self.trees, len(starts)), dtype=np.uint64)
         work = np.empty_like(low)
         k = 0
         for t in range(self.trees):
-            key = np.full(len(starts), self.mix[t, self.depth])
-            for d in range(self.depth):
+            key = np.full(len(starts), t, dtype=np.uint64)
+            for _ in range(LABEL):
                 np.multiply(low, self.a[k], out=work)
                 np.bitwise_xor(work, self.b[k], out=work)
-                key = (key ^ np.minimum.reduceat(work, starts)) * self.mix[t, d]
-                key ^= key >> np.uint64(29)
+                least = np.minimum.reduceat(work, starts) * np.uint32(0x9E3779B1)
+                key = (key << np.uint64(8)) | (least >> np.uint32(24))
                 k += 1
             out[t] = key
         return out.T
 
 
+class Trie:
+    """Descends sorted labels, which come in pieces. ``feed`` gives the candidate
+    pairs of nodes that are complete and, as pairs with themselves, the members
+    of crowded ones; it holds at most a node of ``crowd`` texts and a piece."""
+
+    def __init__(self, depth: int, crowd: int, ratio: float):
+        self.depth, self.crowd, self.ratio = depth, crowd, ratio
+        self.held: tuple[np.ndarray, ...] = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int32))
+        self.at = depth  # where the node that is still open is cut; all shallower ones it is in are crowded
+        self.before, self.full = np.uint64(0), False  # the last label, and whether it is crowded as a whole
+
+    def feed(self, label: np.ndarray, cls: np.ndarray, n: np.ndarray, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        if self.at > self.depth and len(label):  # the open node is crowded: so are the rows that go on with it
+            more = self._prefix(label, self.depth) == self._prefix(self.before, self.depth)
+            out.append((cls[more], cls[more]))
+            if self.full:
+                rest = label != self.before
+                label, cls, n = label[rest], cls[rest], n[rest]
+                if len(label):
+                    self._leave(self.before, label[0])
+        rows = tuple(np.concatenate(x) for x in zip(self.held, (label, cls, n)))
+        size = len(rows[0])
+        while size:
+            # Below a crowded node only the rest of it is cut at this depth.
+            edge = size if self.at == self.depth else int(np.searchsorted(self._prefix(rows[0], self.at - 1), self._prefix(rows[0][0], self.at - 1), side="right"))
+            if edge < size:
+                part = tuple(x[:edge] for x in rows)
+                self._nodes(part, self._runs(part[0], self.at), self.at, out)
+                self._leave(rows[0][edge - 1], rows[0][edge])
+                rows = tuple(x[edge:] for x in rows)
+                size = len(rows[0])
+                continue
+            if last:
+                self._nodes(rows, self._runs(rows[0], self.at), self.at, out)
+                rows = tuple(x[size:] for x in rows)
+                break
+            runs = self._runs(rows[0], self.at)
+            done = runs[-1]  # the last node may go on in the next piece
+            if done:
+                self._nodes(tuple(x[:done] for x in rows), runs[:-1], self.at, out)
+                self._leave(rows[0][done - 1], rows[0][done])
+                rows = tuple(x[done:] for x in rows)
+            elif size > self.crowd:
+                out.append((rows[1], rows[1]))
+                self.before = rows[0][-1]
+                if self.at == LABEL:
+                    self.full = True
+                    rows = tuple(x[size:] for x in rows)
+                    break
+                self.at += 1
+            else:
+                break
+            size = len(rows[0])
+        self.held = rows
+        if len(rows[0]):
+            self.before = rows[0][-1]
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _leave(self, old, new) -> None:
+        """Find the crowded nodes that the next row is still in."""
+        same = [d for d in range(self.depth, self.at) if self._prefix(old, d) == self._prefix(new, d)]
+        self.at, self.full = max(same) + 1 if same else self.depth, False
+
+    @staticmethod
+    def _prefix(label, depth: int):
+        return label >> np.uint64(8 * (LABEL - depth))
+
+    def _runs(self, label: np.ndarray, depth: int) -> np.ndarray:
+        p = self._prefix(label, depth)
+        return np.concatenate([[0], np.flatnonzero(p[1:] != p[:-1]) + 1])
+
+    def _nodes(self, rows: tuple, starts: np.ndarray, depth: int, out: list) -> None:
+        """Complete nodes of one depth: pairs within small ones, a descent into others."""
+        label, cls, n = rows
+        sizes = np.diff(np.append(starts, len(label)))
+        for k in np.flatnonzero(sizes > self.crowd).tolist():
+            a, b = int(starts[k]), int(starts[k] + sizes[k])
+            out.append((cls[a:b], cls[a:b]))
+            if depth < LABEL:
+                part = tuple(x[a:b] for x in rows)
+                self._nodes(part, self._runs(part[0], depth + 1), depth + 1, out)
+        left = np.where(sizes > self.crowd, 0, sizes)
+        room = np.repeat(starts + left, sizes) - np.arange(len(label))  # rows from here to the node's end
+        at = np.flatnonzero(room > 1)
+        step = 1
+        while len(at):
+            x, y = at, at + step
+            good = (n[x] >= n[y] * self.ratio) & (n[y] >= n[x] * self.ratio) & (cls[x] != cls[y])
+            x, y = cls[x[good]], cls[y[good]]
+            out.append((np.minimum(x, y), np.maximum(x, y)))
+            step += 1
+            at = at[room[at] > step]
+
+
+def _exact_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """``(cls_a, cls_b)`` holding every pair of ``sets(cls, s)`` that may be alike:
+    two such sets share one of the rarest sequences of either."""
+    t = sets.select("cls", F.size("s").alias("n"), F.explode("s").alias("tok"))
+    rare = t.join(t.groupBy("tok").agg(F.count("*").alias("df")), "tok").filter("df > 1")
+    order = rare.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))
+    # Sequences of one set only are the rarest of it and meet nothing.
+    alone = F.col("n") - F.size("o")
+    prefix = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1 - alone)
+    posts = order.select("cls", "n", F.explode(F.slice("o.tok", F.lit(1), prefix)).alias("tok"))
+    a, b = posts.alias("a"), posts.alias("b")
+    near = (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold)
+    return a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.cls") < F.col("b.cls")) & near).select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"))
+
+
 def near_duplicates(
-    df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, min_words: int = 0, trees: int = 57, label: int = 12, recall: float = 0.985, seed: int = 3
+    df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, min_words: int = 0, trees: int = 57, recall: float = 0.985, crowd: int = CROWD, seed: int = 3
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal texts and the links between them.
 
@@ -105,8 +226,8 @@ def near_duplicates(
     no class. Repeated rows count once; an item with several texts is in the
     class of each. Further columns are ignored, whatever their names.
     """
-    depth = prefix_depth(trees, threshold, recall, label)
-    forest = Forest(trees, depth, seed)
+    depth = prefix_depth(trees, threshold, recall, LABEL)
+    forest = Forest(trees, seed)
     d = df.select(F.col(f"`{key}`").alias("item"), F.col(f"`{text}`").alias("body"))
     kind = dict(d.dtypes)["item"]
 
@@ -131,16 +252,22 @@ def near_duplicates(
     members = seen.select("item", "cls").distinct()
     # Equal sets meet only once in the trees: their class stands for them.
     one = seen.groupBy("cls").agg(F.first("n").alias("n"), F.first("labels").alias("labels"))
-    posts = one.select("cls", "n", F.explode("labels").alias("label"))
-    a, b = posts.alias("a"), posts.alias("b")
-    size_ok = (F.col("a.n") >= F.col("b.n") * threshold) & (F.col("b.n") >= F.col("a.n") * threshold)
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.cls") < F.col("b.cls")) & size_ok).select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
-    pairs = materialize(pairs, "pairs")
+    posts = one.select(F.explode("labels").alias("label"), "cls", "n")
+    posts = posts.repartition(F.shiftrightunsigned("label", 8 * (LABEL - depth))).sortWithinPartitions("label")
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Trie(depth, crowd, threshold)
+        names = ["cls_a", "cls_b"]
+        none = pa.record_batch([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32())], names=["label", "cls", "n"])
+        for last, b in chain(((False, b) for b in batches), [(True, none)]):
+            x, y = trie.feed(np.asarray(b.column("label")).astype(np.int64).view(np.uint64), np.asarray(b.column("cls")), np.asarray(b.column("n")), last)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=names)
+
+    pairs = materialize(posts.mapInArrow(descend, "cls_a bigint, cls_b bigint").distinct(), "pairs")
 
     wanted = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
     rep = materialize(seen.select("item", "cls").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("item").alias("item")), "rep")
-    ids = rep.select("item")
-    ids = F.broadcast(ids) if rep.count() <= BROADCAST_IDS else ids
+    ids = bounded(rep.select("item"))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width, min_words)
@@ -150,6 +277,10 @@ def near_duplicates(
 
     sets = d.join(ids, "item", "left_semi").mapInArrow(again, "cls bigint, s array<bigint>").groupBy("cls").agg(F.first("s").alias("s"))
     sets = materialize(sets, "sets")
+    crowded = pairs.filter("cls_a = cls_b").select(F.col("cls_a").alias("cls"))
+    pairs = pairs.filter("cls_a <> cls_b")
+    if not crowded.isEmpty():
+        pairs = materialize(pairs.union(_exact_pairs(sets.join(crowded, "cls", "left_semi"), threshold)).distinct(), "pairs")
     x = pairs.join(sets.select(F.col("cls").alias("cls_a"), F.col("s").alias("sa")), "cls_a").join(sets.select(F.col("cls").alias("cls_b"), F.col("s").alias("sb")), "cls_b")
     both = F.size(F.array_intersect("sa", "sb"))
     x = x.withColumn("similarity", both / (F.size("sa") + F.size("sb") - both)).filter(F.col("similarity") >= threshold)
@@ -210,7 +341,10 @@ def groups_query(spark: SparkSession, base: str) -> DataFrame:
 
 
 def chunk_groups_query(spark: SparkSession, base: str) -> DataFrame:
-    """Every chunk with the group of chunks it is connected to by near-duplicates."""
+    """Every chunk with its class of equal texts, that class's number of links to
+    other classes, and the group of chunks it is connected to by near-duplicates."""
     c = chunks(spark, base)
     members, links = near_duplicates(c, "rec_id", "text", width=3, threshold=0.6)
-    return groups(c, "rec_id", "text", members, links).select(F.col("item").alias("chunk_id"), F.col("grp").alias("group_id")).distinct()
+    n = links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
+    g = groups(c, "rec_id", "text", members, links).join(n, "cls", "left")
+    return g.select(F.col("item").alias("chunk_id"), F.col("cls").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.col("grp").alias("group_id")).distinct()

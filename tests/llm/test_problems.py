@@ -115,6 +115,53 @@ def test_near_duplicates_match_brute_force(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def _pairs_by_walk(label, cls, depth, crowd):
+    """The pairs and crowded members a trie should give, from its definition."""
+    pairs, full = set(), set()
+
+    def node(rows, d):
+        for _, g in itertools.groupby(rows, key=lambda r: r[0] >> 8 * (neardup.LABEL - d)):
+            g = list(g)
+            if len(g) <= crowd:
+                pairs.update((min(a, b), max(a, b)) for (_, a), (_, b) in itertools.combinations(g, 2) if a != b)
+            else:
+                full.update(c for _, c in g)
+                if d < neardup.LABEL:
+                    node(g, d + 1)
+
+    node(sorted(zip(label, cls)), depth)
+    return pairs, full
+
+
+@pytest.mark.parametrize("piece", [1, 7, 50, 1000])
+def test_trie_shortens_prefixes_of_small_nodes_only(piece):
+    rng = np.random.default_rng(31)
+    label = np.sort((rng.integers(0, 3, (600, 4)) @ np.array([1 << 32, 1 << 16, 1 << 8, 1])).astype(np.uint64))
+    label[100:200] = label[100]
+    label = np.sort(label)
+    cls = np.arange(600, dtype=np.int64)
+    want, full = _pairs_by_walk(label.tolist(), cls.tolist(), 3, 12)
+    trie = neardup.Trie(3, 12, 0.5)
+    got = set()
+    n = np.full(600, 40, dtype=np.int32)
+    for a in range(0, 600, piece):
+        got |= set(zip(*(x.tolist() for x in trie.feed(label[a : a + piece], cls[a : a + piece], n[a : a + piece]))))
+        assert len(trie.held[0]) <= 12 + piece
+    got |= set(zip(*(x.tolist() for x in trie.feed(label[:0], cls[:0], n[:0], True))))
+    assert {p for p in got if p[0] != p[1]} == want and {a for a, b in got if a == b} == full and want and full
+
+
+def test_crowded_nodes_lose_no_pair(spark):
+    rnd = random.Random(32)
+    form = [f"f{i}" for i in range(60)]
+    texts = [" ".join([*form, *(f"x{rnd.randrange(40)}" for _ in range(8))]) for _ in range(80)]  # one form, all alike
+    rows = [(f"c{i:03}", t) for i, t in enumerate(texts)]
+    members, links = neardup.near_duplicates(frame(spark, rows, "id string, text string"), "id", "text", width=3, threshold=0.8, crowd=5)
+    s = {i: {tuple(w[k : k + 3]) for w in [t.split()] for k in range(len(w) - 2)} for i, t in rows}
+    want = {(a, b) for a, b in itertools.combinations(sorted(s), 2) if len(s[a] & s[b]) / len(s[a] | s[b]) >= 0.8}
+    assert {tuple(r) for r in neardup.item_pairs(members, links).collect()} == want and len(want) > 50
+
+
 def test_near_duplicates_of_nothing(spark):
     members, links = neardup.near_duplicates(frame(spark, [("a", None), ("b", "")], "id string, text string"), "id", "text")
     assert members.count() == links.count() == 0
