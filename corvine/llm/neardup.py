@@ -55,10 +55,11 @@ class Shingler:
             h = self.known[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
-    def __call__(self, text: str | None) -> np.ndarray | None:
+    def words(self, text: str | None) -> list[str] | None:
         words = WORD.findall(text.lower()) if text else []
-        if len(words) < max(self.min_words, self.width):
-            return None
+        return words if len(words) >= max(self.min_words, self.width) else None
+
+    def __call__(self, words: list[str]) -> np.ndarray:
         h = np.fromiter(map(self._hash, words), dtype=np.uint64, count=len(words))
         s = np.zeros(len(h) - self.width + 1, dtype=np.uint64)
         for i in range(self.width):
@@ -67,9 +68,20 @@ class Shingler:
         return np.unique(s)
 
 
-def class_id(s: np.ndarray) -> int:
-    """One value for equal sets."""
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def class_id(words: list[str]) -> int:
+    """One value for texts of equal words."""
+    return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63)
+
+
+#: Bits of the sketch that goes with each posting.
+SKETCH = 64
+
+
+def least_bits(threshold: float) -> int:
+    """Bits in which the sketches of two texts at the threshold agree at least,
+    but for one pair in about a thousand (3.2 deviations)."""
+    p = (1 + threshold) / 2
+    return max(0, int(SKETCH * p - 3.2 * (SKETCH * p * (1 - p)) ** 0.5))
 
 
 class Forest:
@@ -80,12 +92,13 @@ class Forest:
             raise ValueError("at most 256 trees")
         rng = np.random.default_rng(seed)
         self.trees = trees
-        n = trees * LABEL
+        n = trees * LABEL + SKETCH
         self.a = (rng.integers(0, 1 << 32, size=n, dtype=np.uint64).astype(np.uint32)) | np.uint32(1)
         self.b = rng.integers(0, 1 << 32, size=n, dtype=np.uint64).astype(np.uint32)
 
-    def labels(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """A row per set (``flat`` cut at ``starts``) with its label in each tree."""
+    def labels(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A row per set (``flat`` cut at ``starts``) with its label in each tree,
+        and sketches: a bit each of further MinHash values."""
         low = ((flat * _B) >> np.uint64(32)).astype(np.uint32)
         out = np.empty((self.trees, len(starts)), dtype=np.uint64)
         work = np.empty_like(low)
@@ -99,7 +112,12 @@ class Forest:
                 key = (key << np.uint64(8)) | (least >> np.uint32(24))
                 k += 1
             out[t] = key
-        return out.T
+        sketch = np.zeros(len(starts), dtype=np.uint64)
+        for k in range(k, k + SKETCH):
+            np.multiply(low, self.a[k], out=work)
+            np.bitwise_xor(work, self.b[k], out=work)
+            sketch = (sketch << np.uint64(1)) | ((np.minimum.reduceat(work, starts) * np.uint32(0x9E3779B1)) >> np.uint32(31))
+        return out.T, sketch
 
 
 class Trie:
@@ -107,23 +125,23 @@ class Trie:
     pairs of nodes that are complete and, as pairs with themselves, the members
     of crowded ones; it holds at most a node of ``crowd`` texts and a piece."""
 
-    def __init__(self, depth: int, crowd: int, ratio: float):
-        self.depth, self.crowd, self.ratio = depth, crowd, ratio
-        self.held: tuple[np.ndarray, ...] = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int32))
+    def __init__(self, depth: int, crowd: int, ratio: float, bits: int):
+        self.depth, self.crowd, self.ratio, self.bits = depth, crowd, ratio, bits
+        self.held: tuple[np.ndarray, ...] = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int32, np.uint64))
         self.at = depth  # where the node that is still open is cut; all shallower ones it is in are crowded
         self.before, self.full = np.uint64(0), False  # the last label, and whether it is crowded as a whole
 
-    def feed(self, label: np.ndarray, cls: np.ndarray, n: np.ndarray, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def feed(self, label: np.ndarray, cls: np.ndarray, n: np.ndarray, sketch: np.ndarray, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
         out: list[tuple[np.ndarray, np.ndarray]] = []
         if self.at > self.depth and len(label):  # the open node is crowded: so are the rows that go on with it
             more = self._prefix(label, self.depth) == self._prefix(self.before, self.depth)
             out.append((cls[more], cls[more]))
             if self.full:
                 rest = label != self.before
-                label, cls, n = label[rest], cls[rest], n[rest]
+                label, cls, n, sketch = label[rest], cls[rest], n[rest], sketch[rest]
                 if len(label):
                     self._leave(self.before, label[0])
-        rows = tuple(np.concatenate(x) for x in zip(self.held, (label, cls, n)))
+        rows = tuple(np.concatenate(x) for x in zip(self.held, (label, cls, n, sketch)))
         size = len(rows[0])
         while size:
             # Below a crowded node only the rest of it is cut at this depth.
@@ -178,7 +196,7 @@ class Trie:
 
     def _nodes(self, rows: tuple, starts: np.ndarray, depth: int, out: list) -> None:
         """Complete nodes of one depth: pairs within small ones, a descent into others."""
-        label, cls, n = rows
+        label, cls, n, sketch = rows
         sizes = np.diff(np.append(starts, len(label)))
         for k in np.flatnonzero(sizes > self.crowd).tolist():
             a, b = int(starts[k]), int(starts[k] + sizes[k])
@@ -193,6 +211,8 @@ class Trie:
         while len(at):
             x, y = at, at + step
             good = (n[x] >= n[y] * self.ratio) & (n[y] >= n[x] * self.ratio) & (cls[x] != cls[y])
+            x, y = x[good], y[good]
+            good = np.bitwise_count(sketch[x] ^ sketch[y]) <= SKETCH - self.bits
             x, y = cls[x[good]], cls[y[good]]
             out.append((np.minimum(x, y), np.maximum(x, y)))
             step += 1
@@ -219,8 +239,8 @@ def near_duplicates(
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of equal texts and the links between them.
 
-    Returns ``members(item, cls)``, every usable item with the class of texts
-    having the same set, and ``links(cls_a, cls_b, similarity)`` with
+    Returns ``members(item, cls)``, every usable item with the class of texts of
+    the same words, and ``links(cls_a, cls_b, similarity)`` with
     ``cls_a < cls_b`` for all classes at least ``threshold`` alike. Texts that
     are null, empty or shorter than ``min_words`` (or the sequence) belong to
     no class. Repeated rows count once; an item with several texts is in the
@@ -231,36 +251,42 @@ def near_duplicates(
     d = df.select(F.col(f"`{key}`").alias("item"), F.col(f"`{text}`").alias("body"))
     kind = dict(d.dtypes)["item"]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(width, min_words)
+        for b in cut_batches(batches, "body"):
+            words = list(map(shingle.words, b.column("body").to_pylist()))
+            index = pa.array([i for i, w in enumerate(words) if w], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("item").take(index), b.column("th").take(index), pa.array([class_id(w) for w in words if w], pa.int64())], names=["item", "th", "cls"])
+
+    d = d.withColumn("th", F.xxhash64("body"))
+    seen = materialize(d.mapInArrow(read, f"item {kind}, th bigint, cls bigint"), "classes")
+    members = seen.select("item", "cls").distinct()
+    # Of texts of equal words one goes into the trees.
+    copied = seen.groupBy("cls").agg(F.min(F.struct("item", "th")).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    extra = materialize(seen.distinct().join(copied, "cls").filter(F.struct("item", "th") != F.col("first")).select("item", "th").distinct(), "copies")
+    single = d.join(bounded(extra), ["item", "th"], "left_anti")
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width, min_words)
         for b in cut_batches(batches, "body", 1_000_000):
-            index, sets = [], []
-            for i, x in enumerate(b.column("body").to_pylist()):
-                s = shingle(x)
-                if s is not None:
-                    index.append(i)
-                    sets.append(s)
-            if not index:
+            words = [w for w in map(shingle.words, b.column("body").to_pylist()) if w]
+            if not words:
                 continue
+            sets = list(map(shingle, words))
             sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            labels = forest.labels(np.concatenate(sets), starts).astype(np.int64)
-            rows = pa.FixedSizeListArray.from_arrays(pa.array(labels.ravel()), trees).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("item").take(pa.array(index)), pa.array([class_id(s) for s in sets], pa.int64()), pa.array(sizes.astype(np.int32)), rows], names=["item", "cls", "n", "labels"])
+            labels, sketch = forest.labels(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            cls, n, sketch = (np.repeat(x, trees) for x in (np.array([class_id(w) for w in words]), sizes.astype(np.int32), sketch.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(labels.ravel().view(np.int64)), pa.array(cls), pa.array(n), pa.array(sketch)], names=["label", "cls", "n", "sketch"])
 
-    seen = materialize(d.mapInArrow(scan, f"item {kind}, cls bigint, n int, labels array<bigint>"), "labels")
-    members = seen.select("item", "cls").distinct()
-    # Equal sets meet only once in the trees: their class stands for them.
-    one = seen.groupBy("cls").agg(F.first("n").alias("n"), F.first("labels").alias("labels"))
-    posts = one.select(F.explode("labels").alias("label"), "cls", "n")
+    posts = single.select("body").mapInArrow(plant, "label bigint, cls bigint, n int, sketch bigint")
     posts = posts.repartition(F.shiftrightunsigned("label", 8 * (LABEL - depth))).sortWithinPartitions("label")
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(depth, crowd, threshold)
+        trie = Trie(depth, crowd, threshold, least_bits(threshold))
         names = ["cls_a", "cls_b"]
-        none = pa.record_batch([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32())], names=["label", "cls", "n"])
+        none = pa.record_batch([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())], names=["label", "cls", "n", "sketch"])
         for last, b in chain(((False, b) for b in batches), [(True, none)]):
-            x, y = trie.feed(np.asarray(b.column("label")).astype(np.int64).view(np.uint64), np.asarray(b.column("cls")), np.asarray(b.column("n")), last)
+            x, y = trie.feed(np.asarray(b.column("label")).astype(np.int64).view(np.uint64), np.asarray(b.column("cls")), np.asarray(b.column("n")), np.asarray(b.column("sketch")).astype(np.int64).view(np.uint64), last)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=names)
 
     pairs = materialize(posts.mapInArrow(descend, "cls_a bigint, cls_b bigint").distinct(), "pairs")
@@ -272,10 +298,10 @@ def near_duplicates(
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width, min_words)
         for b in cut_batches(batches, "body"):
-            sets = [s for s in map(shingle, b.column("body").to_pylist()) if s is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cls", "s"])
+            words = [w for w in map(shingle.words, b.column("body").to_pylist()) if w]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(class_id, words)), pa.int64()), pa.array([shingle(w).view(np.int64) for w in words], pa.list_(pa.int64()))], names=["cls", "s"])
 
-    sets = d.join(ids, "item", "left_semi").mapInArrow(again, "cls bigint, s array<bigint>").groupBy("cls").agg(F.first("s").alias("s"))
+    sets = d.select("item", "body").join(ids, "item", "left_semi").mapInArrow(again, "cls bigint, s array<bigint>").groupBy("cls").agg(F.first("s").alias("s"))
     sets = materialize(sets, "sets")
     crowded = pairs.filter("cls_a = cls_b").select(F.col("cls_a").alias("cls"))
     pairs = pairs.filter("cls_a <> cls_b")

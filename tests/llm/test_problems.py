@@ -141,13 +141,13 @@ def test_trie_shortens_prefixes_of_small_nodes_only(piece):
     label = np.sort(label)
     cls = np.arange(600, dtype=np.int64)
     want, full = _pairs_by_walk(label.tolist(), cls.tolist(), 3, 12)
-    trie = neardup.Trie(3, 12, 0.5)
+    trie = neardup.Trie(3, 12, 0.5, 30)
     got = set()
-    n = np.full(600, 40, dtype=np.int32)
+    n, bits = np.full(600, 40, dtype=np.int32), np.zeros(600, dtype=np.uint64)
     for a in range(0, 600, piece):
-        got |= set(zip(*(x.tolist() for x in trie.feed(label[a : a + piece], cls[a : a + piece], n[a : a + piece]))))
+        got |= set(zip(*(x.tolist() for x in trie.feed(label[a : a + piece], cls[a : a + piece], n[a : a + piece], bits[a : a + piece]))))
         assert len(trie.held[0]) <= 12 + piece
-    got |= set(zip(*(x.tolist() for x in trie.feed(label[:0], cls[:0], n[:0], True))))
+    got |= set(zip(*(x.tolist() for x in trie.feed(label[:0], cls[:0], n[:0], bits[:0], True))))
     assert {p for p in got if p[0] != p[1]} == want and {a for a, b in got if a == b} == full and want and full
 
 
