@@ -1,19 +1,22 @@
 """Problem 2: languages of documents, chunks and their segments.
 
-A language's profile lists its most frequent n-grams by rank. A sentence's own
-ranking is compared with the profiles of its script by out-of-place distance;
-the nearest profile names the language and the distance of the next gives the
-confidence. Profiles are learned from a bounded sample of labelled documents,
-whose labels may be wrong here and there: what the first profiles call another
-language is left out of the second ones.
+A language's profile lists its most frequent n-grams by rank. Every sentence's
+own ranking is compared with all profiles by out-of-place distance; the nearest
+profile names the language and the distance of the next gives the confidence.
+The sentences of a batch of texts are ranked together in arrays. Profiles are
+learned from a bounded sample of labelled documents, whose labels may be wrong
+here and there: what the first profiles call another language is left out of the
+second ones.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Column
@@ -24,14 +27,13 @@ from corvine.llm.common import chunks, cut_batches, documents
 from corvine.llm.markup import _ANY, analyse
 
 LANGUAGES = ("en", "fr", "de", "es", "pt", "ru", "zh", "ja", "th", "hi")
-#: Documents a label whose texts teach the profiles, and the characters taken from them.
-SAMPLE_DOCS, SAMPLE_CHARS = 100, 2500
-#: N-grams in a profile, and the longest n-gram.
-PROFILE, LONGEST = 600, 4
-#: Share by which the second language must be farther off for a sentence to stand against its record's main language.
-MARGIN = 0.05
-#: The same, from which the words' summed distances are enough.
-CLEAR = 0.05
+#: Documents a label and sentences of each, picked by hash, that teach the profiles.
+SAMPLE_DOCS, SAMPLE_SENTENCES = 100, 40
+#: N-grams in a profile, the longest n-gram, and n-grams in a sentence's ranking.
+PROFILE, LONGEST, OWN = 600, 4, 300
+#: Share by which the second language must be farther off for a sentence to stand against its
+#: record's main language, and what a sentence of one word needs besides (of n words, that over n squared).
+MARGIN, SHORT = 0.05, 0.5
 
 _SENTENCE = re.compile(r"[.!?…]+[\"'»”’)\]]*(?:\s*[»“])?(?=\s+[\"'«“„‘(¿¡]*\s?[A-ZÀ-ÞА-Яऀ-ॿ぀-ヿ一-鿿฀-๿])|(?<=[a-zß-öø-ÿ)])[.!?](?=[A-ZÀ-Þ][a-zß-öø-ÿ]+\s)|[。！？।]+[」』”）]*")
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
@@ -47,9 +49,10 @@ def script(c: str) -> str:
     return "y" if "Ѐ" <= c <= "ӿ" else "d" if "ऀ" <= c <= "ॿ" else "t" if "฀" <= c <= "๿" else "c" if "぀" <= c <= "鿿" else "l"
 
 
-def skeleton(sentence: str) -> tuple[str, str]:
-    """Script and evidence of a sentence: its lower-case words, or its letters in
-    another script. Names, numbers and file names are no evidence."""
+def skeleton(sentence: str) -> str:
+    """Evidence of a sentence: its lower-case words, or its letters in another
+    script, of scripts without spaces two by two. Names, numbers and file names
+    are no evidence."""
     if not sentence.isascii():
         runs = _NON_LATIN.findall(sentence)
         if runs:
@@ -58,86 +61,89 @@ def skeleton(sentence: str) -> tuple[str, str]:
             letters = sum(map(len, own))
             latin = sum(map(len, _LOWER.findall(sentence)))
             if letters * (3 if most in "ct" else 1) > latin:
-                return most, " ".join(own)
-    return "l", " ".join(_LOWER.findall(sentence) + _ELISION.findall(sentence))
+                return " ".join(own)
+    return " ".join(_LOWER.findall(sentence) + _ELISION.findall(sentence))
 
 
-def ngrams(text: str, most: int = LONGEST) -> Counter:
-    """N-grams of the words of a text; longer ones take in the words' edges."""
-    to: Counter = Counter()
-    for w in text.split():
-        p = f"_{w}_"
-        n = len(p)
-        for k in range(1, most + 1):
-            to.update([p[i : i + k] for i in range(n - k + 1)])
-    to.pop("_", None)
-    return to
-
-
-def ranking(counts: Counter, most: int) -> list[str]:
-    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]]
+def ngrams(word: str) -> list[str]:
+    """N-grams of a word; longer ones take in its edges."""
+    p = f"_{word}_"
+    n = len(p)
+    return [p[i : i + k] for k in range(1, LONGEST + 1) for i in range(n - k + 1) if k > 1 or p[i] != "_"]
 
 
 class Profiles:
+    """Profiles as one table: a row for each n-gram some profile holds, the ranks
+    in all languages in its columns, ``PROFILE`` where a profile lacks it."""
+
     def __init__(self, ranks: dict[str, dict[str, int]]):
-        self.ranks = ranks
-        self.words: dict[str, tuple[float, ...]] = {}
-        self.memo: dict[tuple[str, str], tuple[str, float]] = {}
+        self.languages = [x for x in LANGUAGES if ranks.get(x)]
+        found = {g for x in self.languages for g in ranks[x]}
+        # Equally frequent n-grams of a sentence go by their place in all profiles.
+        order = sorted(found, key=lambda g: (sum(ranks[x].get(g, PROFILE) for x in self.languages), g))
+        self.ids = {g: i for i, g in enumerate(order)}
+        self.ranks = np.full((len(order) + 1, len(self.languages)), PROFILE, dtype=np.int16)
+        for j, x in enumerate(self.languages):
+            for g, r in ranks[x].items():
+                self.ranks[self.ids[g], j] = r
+        self.words: dict[str, np.ndarray] = {}
 
     def __getstate__(self):
-        return {"ranks": self.ranks, "words": {}, "memo": {}}
-
-    def distances(self, side: str, evidence: str) -> list[tuple[float, str]]:
-        own = ranking(ngrams(evidence), 300)
-        out = []
-        for x in _SCRIPTS[side]:
-            r = self.ranks.get(x)
-            if r:
-                get = r.get
-                out.append((sum(abs(i - j) if (j := get(g)) is not None else PROFILE for i, g in enumerate(own)) / max(1, len(own)), x))
-        return sorted(out)
-
-    def _word(self, side: str, word: str) -> tuple[float, ...]:
-        """How far the n-grams of one word are from the top of each profile."""
-        found = self.words.get(word)
-        if found is None:
-            grams = list(ngrams(word))
-            found = tuple(float(sum(self.ranks.get(x, {}).get(g, PROFILE) for g in grams)) for x in _SCRIPTS[side])
-            if len(self.words) > 500_000:
-                self.words.clear()
-            self.words[word] = found
+        return self.__dict__ | {"words": {}}
+
+    def _word(self, word: str) -> np.ndarray:
+        """The n-grams of a word as numbers; those of no profile come after all others."""
+        known = len(self.ids)
+        found = np.array([i if (i := self.ids.get(g)) is not None else known + zlib.crc32(g.encode()) % (1 << 22) for g in ngrams(word)], dtype=np.int32)
+        if len(self.words) > 300_000:
+            self.words.clear()
+        self.words[word] = found
         return found
 
-    def name(self, sentence: str) -> tuple[str, float]:
-        """Language and confidence of a sentence; empty without evidence.
-
-        Distances summed word by word, which can be kept, settle a clear
-        sentence; any other is ranked and compared as a whole.
-        """
-        return self.name_evidence(*skeleton(sentence))
-
-    def name_evidence(self, side: str, evidence: str) -> tuple[str, float]:
-        languages = _SCRIPTS[side]
-        if len(languages) == 1:
-            return (languages[0], 1.0) if len(evidence) > 2 else ("", 0.0)
-        words = evidence.split() if side == "l" else [r[i : i + 2] for r in evidence.split() for i in range(0, max(1, len(r) - 1))]
-        if len(words) < 3:
-            return "", 0.0
+    def distances(self, evidence: list[list[str]]) -> np.ndarray:
+        """Mean out-of-place distance of each text, given as its words, to each
+        language: how far, n-gram by n-gram, its own ranking is from the profile's."""
         get = self.words.get
-        total = [sum(x) for x in zip(*[get(w) or self._word(side, w) for w in words])]
-        ordered = sorted(total)
-        margin = (ordered[1] - ordered[0]) / max(1e-9, ordered[1])
-        if margin >= CLEAR:
-            return languages[total.index(ordered[0])], margin
-        key = (side, evidence)
-        found = self.memo.get(key)
-        if found is None:
-            d = self.distances(side, evidence)
-            found = (d[0][1], (d[1][0] - d[0][0]) / max(1e-9, d[1][0])) if len(d) > 1 else (d[0][1], 1.0) if d else ("", 0.0)
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            self.memo[key] = found
-        return found
+        if not evidence or not self.languages:
+            return np.zeros((len(evidence), len(self.languages)))
+        parts = [w if (w := get(x)) is not None else self._word(x) for e in evidence for x in e]
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        texts = np.repeat(np.arange(len(evidence)), [len(e) for e in evidence])
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        key = np.sort((np.repeat(texts, sizes) << 24) | flat)
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        count = np.minimum(np.diff(np.append(new, len(key))), 4095)
+        gram, text = key[new] & 0xFFFFFF, key[new] >> 24
+        ranked = np.sort((text << 36) | ((4095 - count) << 24) | gram)
+        text, gram = ranked >> 36, ranked & 0xFFFFFF
+        first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, np.int64)
+        rank = np.arange(len(text)) - np.repeat(first, np.diff(np.append(first, len(text))))
+        near = rank < OWN
+        text, gram, rank = text[near], gram[near], rank[near].astype(np.int16)
+        theirs = self.ranks[np.minimum(gram, len(self.ids))]
+        apart = np.where(theirs == PROFILE, np.int16(PROFILE), np.abs(theirs - rank[:, None]))
+        out = np.full((len(evidence), len(self.languages)), float(PROFILE))
+        if len(text):
+            first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+            out[text[first]] = np.add.reduceat(apart, first, axis=0, dtype=np.int64) / np.diff(np.append(first, len(text)))[:, None]
+        return out
+
+    def name(self, found: list[str]) -> list[tuple[str, float, str]]:
+        """Language and confidence of each sentence, empty without evidence, and the
+        next language if that is as likely. The confidence is the share by which
+        the next language is farther off."""
+        evidence = [skeleton(x) for x in found]
+        return self.name_evidence(evidence)
+
+    def name_evidence(self, evidence: list[str]) -> list[tuple[str, float, str]]:
+        d = self.distances([e.split() for e in evidence])
+        if d.shape[1] < 2:
+            return [(self.languages[0], 1.0, "") if e and self.languages else ("", 0.0, "") for e in evidence]
+        two = np.argpartition(d, 1, axis=1)[:, :2]
+        two = np.where(np.take_along_axis(d, two[:, :1], 1) <= np.take_along_axis(d, two[:, 1:], 1), two, two[:, ::-1])
+        best, next_ = np.take_along_axis(d, two, 1).T
+        margin = (next_ - best) / np.maximum(1e-9, next_)
+        return [(self.languages[i], c, self.languages[j] if c < MARGIN + SHORT / (1 + e.count(" ")) ** 2 else "") if e and b < PROFILE else ("", 0.0, "") for e, (i, j), c, b in zip(evidence, two.tolist(), margin.tolist(), best.tolist())]
 
 
 def sentences(text: str | None) -> Iterator[str]:
@@ -169,21 +175,21 @@ def sentences(text: str | None) -> Iterator[str]:
                 yield from (c for c in re.split(r"(?<=[฀-๿0-9]) | (?=[฀-๿])", rest) if c.strip())
 
 
-def analyse_languages(text: str | None, profiles: Profiles) -> list[tuple[str, float, int]]:
-    """Segments ``(language, confidence, sentences)`` in order: runs of whole
-    sentences in one language. A sentence close to the record's main language
-    counts as being in it."""
-    named = [x for s in sentences(text) if (x := profiles.name(s))[0]]
+def segments(named: list[tuple[str, float, str]]) -> list[tuple[str, float, int]]:
+    """Segments ``(language, confidence, sentences)`` in order: runs of a text's
+    sentences in one language. A sentence almost as close to another language
+    counts as being in the text's main one if that has its script."""
+    named = [x for x in named if x[0]]
     if not named:
         return []
     weight: Counter = Counter()
-    for x, c in named:
+    for x, c, _ in named:
         weight[x] += c + 0.02
     main = weight.most_common(1)[0][0]
     out: list[list] = []
-    for x, c in named:
-        if x != main and c < MARGIN:
-            x, c = main, 0.0
+    for x, c, other in named:
+        if x != main and other and _SCRIPT_OF[x] == _SCRIPT_OF[main]:
+            x = main
         if out and out[-1][0] == x:
             out[-1][1] += c
             out[-1][2] += 1
@@ -192,6 +198,17 @@ def analyse_languages(text: str | None, profiles: Profiles) -> list[tuple[str, f
     return [(x, min(1.0, c / n / 0.3), n) for x, c, n in out]
 
 
+def analyse_languages(texts: list[str | None], profiles: Profiles) -> list[list[tuple[str, float, int]]]:
+    """The segments of each text."""
+    found = [list(sentences(x)) for x in texts]
+    named = profiles.name([s for x in found for s in x])
+    out, at = [], 0
+    for x in found:
+        out.append(segments(named[at : at + len(x)]))
+        at += len(x)
+    return out
+
+
 def normalised(label: Column) -> Column:
     """A label's language: 'en' of 'EN', 'en-GB', 'en_US'; null of null and empty ones."""
     return F.nullif(F.regexp_extract(F.lower(label), r"^\s*([a-z]+)", 1), F.lit(""))
@@ -199,27 +216,31 @@ def normalised(label: Column) -> Column:
 
 def learn(labelled: DataFrame, text: str, label: str, key: str) -> Profiles:
     """Profiles from at most ``SAMPLE_DOCS`` texts a label, the first by a hash of
-    their key, and ``SAMPLE_CHARS`` characters of each."""
-    d = labelled.select(F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h"), normalised(F.col(f"`{label}`")).alias("lang"), F.substring(F.col(f"`{text}`"), 1, SAMPLE_CHARS).alias("body"))
+    their key, and at most ``SAMPLE_SENTENCES`` sentences of each, the first by a
+    hash of their letters wherever they stand."""
+    d = labelled.select(F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h"), normalised(F.col(f"`{label}`")).alias("lang"), F.col(f"`{text}`").alias("body"))
     d = d.filter(F.col("lang").isin(*LANGUAGES) & F.col("body").isNotNull())
     few = d.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= SAMPLE_DOCS).select("lang", "body")
-    rows = [(r.lang, [k for s in sentences(r.body) if len((k := skeleton(s))[1]) >= 8]) for r in few.collect()]
-    profiles = Profiles({})
-    kept: dict[str, Counter] = {}
-
-    def grams(evidence: str) -> Counter:
-        to = kept.get(evidence)
-        if to is None:
-            to = kept[evidence] = ngrams(evidence)
-        return to
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut_batches(batches, "body"):
+            rows = []
+            for lang, body in zip(b.column("lang").to_pylist(), b.column("body").to_pylist()):
+                found = {k for s in sentences(body) if 8 <= len(k := skeleton(s)) <= 4000}
+                rows += [(lang, k) for k in sorted(found, key=lambda k: zlib.crc32(k.encode()))[:SAMPLE_SENTENCES]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["lang", "evidence"])
+
+    rows = sorted((r.lang, r.evidence) for r in few.mapInArrow(read, "lang string, evidence string").collect())
+    rows = [(lang, e) for lang, e in rows if _SCRIPT_OF[lang] == script(next((c for c in e if c > "\u02af"), e[0]))]
+    grams = [Counter(g for w in e.split() for g in ngrams(w)) for _, e in rows]
+    profiles = Profiles({})
     for turn in range(4):
         counts: dict[str, Counter] = {x: Counter() for x in LANGUAGES}
-        for lang, found in rows:
-            for side, evidence in found:
-                if _SCRIPT_OF[lang] == side and (not turn or profiles.name_evidence(side, evidence)[0] == lang):
-                    counts[lang].update(grams(evidence))
-        profiles = Profiles({x: {g: i for i, g in enumerate(ranking(c, PROFILE))} for x, c in counts.items() if c})
+        named = profiles.name_evidence([e for _, e in rows]) if turn else []
+        for k, ((lang, _), g) in enumerate(zip(rows, grams)):
+            if not turn or named[k][0] == lang:
+                counts[lang].update(g)
+        profiles = Profiles({x: {g: i for i, (g, _) in enumerate(sorted(c.items(), key=lambda y: (-y[1], y[0]))[:PROFILE])} for x, c in counts.items() if c})
     return profiles
 
 
@@ -234,8 +255,7 @@ def name_languages(df: DataFrame, key: list[str], text: str, label: str, profile
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut_batches(batches, "body"):
             index, rows = [], []
-            for i, x in enumerate(b.column("body").to_pylist()):
-                found = analyse_languages(x, profiles)
+            for i, found in enumerate(analyse_languages(b.column("body").to_pylist(), profiles)):
                 index += [i] * len(found)
                 rows += [(k, *r) for k, r in enumerate(found, 1)]
             if rows:

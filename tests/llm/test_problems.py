@@ -81,13 +81,23 @@ def test_languages(spark):
     df = frame(spark, rows, "id string, lang string, text string")
     p = languages.learn(df, "text", "lang", "id")
     for x, t in SAMPLES.items():
-        assert [r[0] for r in languages.analyse_languages(t, p)] == [x]
+        assert [r[0] for r in languages.analyse_languages([t], p)[0]] == [x]
     mixed = SAMPLES["en"] + " " + SAMPLES["de"] + "\n\n# " + SAMPLES["ru"].rstrip(".") + "\n\n- Le rapport est ici."
-    assert [r[0] for r in languages.analyse_languages(mixed, p)] == ["en", "de"]
+    assert [r[0] for r in languages.analyse_languages([mixed], p)[0]] == ["en", "de"]
     odd = frame(spark, [("a", None, None), ("b", "", ""), ("c", "en", "heading only")], "id string, lang string, text string")
     assert languages.name_languages(odd, ["id"], "text", "lang", p).count() == 0
 
 
+def test_distance_is_out_of_place():
+    p = languages.Profiles({"en": {"th": 0, "he": 1, "e": 2}, "de": {"er": 0, "e": 1, "ch": 2}})
+    words = ["the", "there", "xy"]
+    own = [g for g, _ in sorted(languages.Counter(g for w in words for g in languages.ngrams(w)).items(), key=lambda x: (-x[1], p.ids.get(x[0], len(p.ids) + languages.zlib.crc32(x[0].encode()) % (1 << 22))))]
+    for x, ranks in (("en", {"th": 0, "he": 1, "e": 2}), ("de", {"er": 0, "e": 1, "ch": 2})):
+        want = sum(abs(i - ranks[g]) if g in ranks else languages.PROFILE for i, g in enumerate(own)) / len(own)
+        assert p.distances([["zz"], words, []])[1][p.languages.index(x)] == pytest.approx(want)
+    assert p.name_evidence(["", "the there"])[0][0] == "" and p.name_evidence(["the there"])[0][0] == "en"
+
+
 # 3
 
 
