@@ -15,6 +15,7 @@ QUERIES = {
     "p4_found": batches.found_query,
     "p5_found": splitting.found_query,
     "p5_pieces": splitting.pieces_query,
+    "p5_files": splitting.files_query,
     "p6_found": markup.found_query,
     "p6_clean": markup.clean_query,
     "p7_found": neighbours.found_query,

@@ -285,18 +285,27 @@ def test_pieces_cover_and_overlap(spark):
         p = sorted(got[i])
         assert [x[0] for x in p] == list(range(1, len(p) + 1)) and p[0][1] == 0 and p[-1][2] == n
         assert all((e - s) // 4 <= 450 and e > s for _, s, e in p) and all(0 <= p[k][2] - p[k + 1][1] <= 323 for k in range(len(p) - 1))
-    assert splitting.cut(len(long_), *map(np.asarray, splitting.boundaries(long_, 0, len(long_), 450)), 1803, 323) == [(s, e, k) for (_, s, e), k in zip(sorted(got["a"]), [c[2] for c in splitting.cut(len(long_), *map(np.asarray, splitting.boundaries(long_, 0, len(long_), 450)), 1803, 323)])]
+    assert len(long_) > 3 * (1 << 16)  # several ranges
+    whole = {n: splitting.Ranges(len(long_), 1803, 323, n, lambda a, b: long_[a:b]) for n in (1 << 16, 10**9)}
+    assert [p[:2] for k in range(whole[1 << 16].parts) for p in whole[1 << 16].pieces(k)] == [(s, e) for _, s, e in sorted(got["a"])]
+    one = whole[10**9].pieces(0)
+    assert one[:5] == whole[1 << 16].pieces(0)[:5] and len(one) <= len(got["a"]) <= len(one) + 2 * whole[1 << 16].parts
 
 
 def test_giant_file(spark, tmp_path):
     p = tmp_path / "x.txt"
-    text = ("Zeile mit Umlauten äöü und so weiter. " * 7 + "\n\n") * 300 + "日本" * 2000
+    text = ("Zeile mit Umlauten äöü und so weiter. " * 7 + "\n\n") * 300 + "日本。" * 2000 + "日本" * 4000
     p.write_bytes(text.encode())
+    (tmp_path / "empty.txt").write_bytes(b"")
     raw = text.encode()
-    got = sorted(tuple(r)[1:4] for r in splitting.split_files(spark, [str(p)], range_bytes=20_000, halo=200).collect())
-    assert got[0][1] == 0 and got[-1][2] == len(raw) and all(e - s <= 1803 for _, s, e in got)
-    for _, s, e in got:
+    got = sorted(tuple(r)[1:] for r in splitting.split_files(spark, [str(tmp_path)], range_bytes=20_000).collect())
+    assert [x[0] for x in got] == list(range(1, len(got) + 1)) and len(raw) > 5 * 20_000
+    assert got[0][1] == 0 and got[-1][2] == len(raw) and all(0 < e - s <= 1803 for _, s, e, _ in got)
+    assert all(0 <= a[2] - b[1] <= 323 for a, b in zip(got, got[1:]))
+    for _, s, e, _ in got:
         raw[s:e].decode()
+    stops = [raw[s:e].decode()[-1] for _, s, e, k in got if k == splitting.SENTENCE and raw[s:e].decode().count("。") > 50]
+    assert stops and set(stops) == {"。"}
 
 
 # 6
