@@ -1,13 +1,14 @@
 """Problem 10: sentence boundaries by a hidden-event language model.
 
 Between the tokens of a text lie slots where a boundary event may stand: after
-closing punctuation and, in scripts without it, at spaces. The model gives the
+closing punctuation, in scripts without it at spaces, and in a stretch without
+any such mark between all its words (or characters). The model gives the
 probability of the token before the slot, the punctuation and the token after
-it, with and without the event. It is trained without labels: the ends and
-beginnings of paragraphs show what stands around boundaries, words inside
-clauses what doesn't, and expectation-maximisation over the slots of the whole
-table does the rest. A text's slots are then decided together by
-forward-backward posteriors.
+it, with and without the event, and of a boundary so many words after another.
+It is trained without labels: the ends and beginnings of paragraphs show what
+stands around boundaries, words inside clauses what doesn't, and
+expectation-maximisation over the slots of the whole table does the rest. A
+text's slots are then decided together by forward-backward posteriors.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ from pyspark.sql import functions as F
 
 from corvine.llm.common import cut_batches, materialize, read_table, spread
 
-#: Words rarer than this share of all words are known by their shape only, so that the model has at most 1 / share words a table.
+#: Words and contexts rarer than this share of all words are known by their shape only, so that the model has at most 1 / share of each a table.
 WORD_SHARE = 2e-6
+#: Tokens from which a stretch without any mark is taken for unpunctuated sentences; a shorter one is a heading.
+UNMARKED = 40
+#: Words between two slots that have a transition of their own; more count as these.
+GAPS = 6
 #: Posterior from which a slot is a boundary.
 DECIDE = 0.5
 
@@ -44,7 +49,9 @@ _SLOT = re.compile(
 _BEFORE = re.compile(r"[^\s" + re.escape("\"'’«“„‘(「『（") + r"]*$")
 _AFTER = re.compile(rf"\s*(?P<o>[{re.escape(_OPEN)}]*)\s?(?P<w>[{_CJK}{_THAI}]{{1,2}}|[^\W_]+(?:[-.'’][^\W_]+)*|\S|$)")
 _MID = re.compile(rf"(?<=[^\W\d_]) ([^\W_]+(?:[-.'’][^\W_]+)*)")
+_TOKEN = re.compile(rf"[{_CJK}{_THAI}]|[^\W_]+(?:[-.'’][^\W_]+)*")
 _CJK_RUN = re.compile(rf"[{_CJK}{_THAI}]{{2,}}")
+_LAST = re.compile(rf"([{_CJK}]{{1,2}}|[^\W_]+(?:[-.'’][^\W_]+)*)[^\w]*$")
 
 
 def _shape(w: str) -> str:
@@ -145,6 +152,8 @@ def _count(text: str, to: Counter) -> None:
         first, q = right(text, a)
         side = script(text, a, b)
         to["first", side + first, q, side + _shape(first)] += 1
+        if tail and (m := _LAST.search(text, max(a, b - 40), b)):
+            to["end", side + m.group(1).lower(), "", side + _shape(m.group(1))] += 1
         if tail:
             to["last", left(text, b - len(tail.group())), mark(tail.group()), ""] += 1
         else:
@@ -169,6 +178,7 @@ class Model:
         mid: Counter = Counter()
         last: Counter = Counter()
         slot: Counter = Counter()
+        end: Counter = Counter()
         for kind, x, y, shape, n in rows:
             if kind == "first":
                 first[x + "\t" + y] += n
@@ -176,11 +186,75 @@ class Model:
                 mid[x] += n
             elif kind == "last":
                 last[x, y] += n
+            elif kind == "end":
+                end[x] += n
             else:
                 l, m = x.split("\t")
                 slot[l, m, y] += n
         self.known = set(mid) | {x.split("\t")[0] for x in first}
+        self.turn = [1.0] * (GAPS + 1)
         self._fit(first, mid, last, slot, rounds)
+        self._words(first, mid, end, slot)
+
+    def _words(self, first: Counter, mid: Counter, end: Counter, slot: Counter) -> None:
+        """What speaks for a boundary between two plain words: how much oftener a
+        word begins or ends paragraphs than it stands inside clauses, by script,
+        whatever its case; and the mean number of words in a sentence."""
+        begin, inside = Counter(), Counter()
+        for k, n in first.items():
+            begin[k.split("\t")[0].lower()] += n
+        for k, n in mid.items():
+            inside[k.lower()] += n
+        tb, te, ti = (sum(c.values()) + 1 for c in (begin, end, inside))
+        ratio = lambda c, t: {w: max(-6.0, min(6.0, math.log((c[w] + 0.1) / t / ((inside[w] + 0.1) / ti)))) for w in c | inside}
+        self.start, self.stop = ratio(begin, tb), ratio(end, te)
+        ends, words = Counter(), Counter()
+        for (l, m, r), n in slot.items():
+            ends[r[0]] += n / (1 + math.exp(-max(-40.0, min(40.0, self.score(l, m, *r.split("\t"))))))
+        for c, by in ((first, ends), (mid, words)):
+            for k, n in c.items():
+                by[k[0]] += n
+        self.length = {side: max(3.0, words[side] / max(1.0, ends[side])) for side in ends}
+
+    def learn_turns(self, pairs: dict[int, tuple[float, float]]) -> None:
+        """Transitions out of expected numbers: how often a boundary so many words
+        before is followed by one, against the distance where that is commonest."""
+        rate = {g: (a + 1) / (a + b + 2) for g, (a, b) in pairs.items()}
+        best = max(rate.values(), default=1.0)
+        self.turn = [max(0.02, rate.get(g, best) / best) for g in range(GAPS)] + [1.0]
+
+    def between_words(self, text: str, a: int, b: int) -> list[int]:
+        """Boundaries in a stretch without marks: forward-backward over sentences
+        of all lengths, likely ones being near the mean."""
+        tokens = list(_TOKEN.finditer(text, a, b))
+        if len(tokens) < UNMARKED:
+            return []
+        side = script(text, a, b)
+        cjk = side in "ct"
+        # In scripts without spaces two characters on either side speak.
+        name = lambda i, back: side + (text[tokens[i].start() : tokens[i].start() + 2] if cjk and not back else text[max(a, tokens[i].end() - 2) : tokens[i].end()] if cjk else tokens[i].group()).lower()
+        n, mean = len(tokens), self.length.get(side, 20.0)
+        longest = int(3 * mean) + 1
+        weight = [0.0] + [(k / mean) ** 2 * math.exp(-3 * k / mean) for k in range(1, longest + 1)]
+        score = [1.0] + [math.exp(max(-8.0, min(8.0, self.start.get(name(i, False), -1.0) + self.stop.get(name(i - 1, True), -1.0)))) for i in range(1, n)] + [1.0]
+        ahead, scale = [1.0] + [0.0] * n, [1.0] * (n + 1)
+        for i in range(1, n + 1):
+            s, f = 0.0, 1.0
+            for k in range(1, min(longest, i) + 1):
+                s += ahead[i - k] * weight[k] * f
+                f /= scale[i - k]
+            ahead[i] = s * score[i]
+            scale[i] = ahead[i] if ahead[i] > 0 else 1.0
+            ahead[i] = 1.0 if ahead[i] > 0 else 0.0
+        back = [0.0] * n + [1.0]
+        for i in range(n - 1, -1, -1):
+            s, f = 0.0, 1.0
+            for k in range(1, min(longest, n - i) + 1):
+                f /= scale[i + k]
+                s += back[i + k] * weight[k] * score[i + k] * f
+            back[i] = s
+        total = back[0] or 1.0
+        return [tokens[i - 1].end() for i in range(1, n) if ahead[i] * back[i] / total >= DECIDE]
 
     def _fit(self, first: Counter, mid: Counter, last: Counter, slot: Counter, rounds: int) -> None:
         times, ends, marks = Counter(), Counter(), Counter()
@@ -239,45 +313,52 @@ class Model:
             y = self.r.get(f"{r}\t")
         return x + max(-6.0, min(6.0, y or 0.0))
 
+    def chain(self, text: str, a: int, b: int) -> tuple[list[int], list[float], list[int]]:
+        """Ends, log odds and distances of a paragraph's slots."""
+        ends, odds, gaps, at = [], [], [], a
+        for end, l, m, r, q in slots(text, a, b):
+            ends.append(end)
+            odds.append(self.score(l, m, r if r in self.known else r[0] + _shape(r[1:]), q))
+            gaps.append(min(GAPS, text.count(" ", at, end) + (end - at) // 12))
+            at = end
+        return ends, odds, gaps
+
     def decide(self, text: str) -> list[int]:
         """Ends of the sentences of a text."""
         ends = []
         for a, b in paragraphs(text):
-            found = slots(text, a, b)
-            if found and not (text[b - 1] in ".!?…。！？।" or text[b - 1] in "\"'»”’)]」』）】》" or any("฀" <= c <= "๿" for c in text[a:b]) or len(found) > 1):
-                found = []  # a heading is one unit
+            found, odds, gaps = self.chain(text, a, b)
             if found:
-                odds, gaps, at = [], [], a
-                for end, l, m, r, q in found:
-                    w = r if r in self.known else r[0] + _shape(r[1:])
-                    odds.append(self.score(l, m, w, q))
-                    gaps.append(text.count(" ", at, end) + (end - at) // 12)
-                    at = end
-                ends += [s[0] for s, p in zip(found, posteriors(odds, gaps)) if p >= DECIDE]
+                ends += [e for e, p in zip(found, posteriors(odds, [self.turn[g] for g in gaps])[0]) if p >= DECIDE]
+            elif b - a >= UNMARKED:
+                ends += self.between_words(text, a, b)
             ends.append(b)
         return ends
 
 
-def posteriors(odds: list[float], gaps: list[int]) -> list[float]:
-    """Forward-backward over a chain of slots: two boundaries with almost nothing
-    between them are improbable."""
-    pair = [0.2 if g < 1 else 0.6 if g < 2 else 1.0 for g in gaps]
+def posteriors(odds: list[float], turn: list[float]) -> tuple[list[float], list[tuple[float, float]]]:
+    """Forward-backward over a chain of slots. ``turn`` weighs a boundary that
+    follows the one before it. Gives the probability of each boundary and, for
+    each slot, those of a boundary before it with and without one here."""
     emit = [(1 / (1 + math.exp(max(-40.0, min(40.0, -x)))), 1 / (1 + math.exp(max(-40.0, min(40.0, x))))) for x in odds]
     fy, fn, ahead = 1.0, 0.0, []
-    for (y, n), g in zip(emit, pair):
-        fy, fn = y * (fy * g + fn), n * (fy + fn)
+    for (y, n), w in zip(emit, turn):
+        fy, fn = y * (fy * w + fn), n * (fy + fn)
         s = fy + fn
         fy, fn = fy / s, fn / s
         ahead.append((fy, fn))
-    by, bn, out = 1.0, 1.0, []
+    by, bn, out, pairs = 1.0, 1.0, [], []
     for i in range(len(odds) - 1, -1, -1):
         y, n = ahead[i][0] * by, ahead[i][1] * bn
         out.append(y / (y + n))
-        ey, en, g = emit[i][0] * by, emit[i][1] * bn, pair[i]
-        by, bn = ey * g + en, ey + en
+        (ey, en), w = (emit[i][0] * by, emit[i][1] * bn), turn[i]
+        py, pn = ahead[i - 1] if i else (1.0, 0.0)
+        s = py * (ey * w + en) + pn * (ey + en)
+        pairs.append((py * ey * w / s, py * en / s))
+        by, bn = ey * w + en, ey + en
         s = by + bn
         by, bn = by / s, bn / s
-    return out[::-1]
+    return out[::-1], pairs[::-1]
 
 
 def train(df: DataFrame, text: str) -> Model:
@@ -301,10 +382,34 @@ def train(df: DataFrame, text: str) -> Model:
     j = c.withColumn("w", word).join(words, "w", "left")
     rare = F.col("frequent").isNull()
     j = j.withColumn("y", F.when((F.col("kind") == "slot") & rare, F.concat("shape", F.lit("\t"), F.substring_index("y", "\t", -1))).otherwise(F.col("y")))
-    j = j.withColumn("x", F.when(F.col("kind").isin("first", "mid") & rare, F.col("shape")).otherwise(F.col("x")))
-    # A token before a mark seen once or twice is a word like any other.
-    seen = j.groupBy("kind", "x", "y").agg(F.sum("n").alias("n"))
-    return Model([(r.kind, r.x, r.y, "", r.n) for r in seen.collect()])
+    j = j.withColumn("x", F.when(F.col("kind").isin("first", "mid", "end") & rare, F.col("shape")).otherwise(F.col("x")))
+    # A token before a mark that is seen too seldom is a word like any other.
+    short = F.when(F.col("kind") == "slot", F.substring_index("x", "\t", 1)).when(F.col("kind") == "last", F.col("x"))
+    j = j.withColumn("short", short)
+    tokens = j.filter("short is not null and short not like '<%'").groupBy("short").agg(F.sum("n").alias("all")).filter(F.col("all") >= least).select("short", F.lit(1).alias("known"))
+    j = j.join(tokens, "short", "left")
+    plain = F.col("known").isNull() & ~F.col("short").startswith("<")
+    j = j.withColumn("x", F.when((F.col("kind") == "slot") & plain, F.concat(F.lit("<w>\t"), F.substring_index("x", "\t", -1))).when((F.col("kind") == "last") & plain, F.lit("<w>")).otherwise(F.col("x")))
+    # A token, mark and word that seldom meet leave the word's shape.
+    seen = j.groupBy("kind", "x", "y", F.when(F.col("kind") == "slot", F.col("shape")).alias("shape")).agg(F.sum("n").alias("n"))
+    seldom = (F.col("kind") == "slot") & (F.col("n") < math.ceil(total * WORD_SHARE / 10))
+    seen = seen.withColumn("y", F.when(seldom, F.concat("shape", F.lit("\t"), F.substring_index("y", "\t", -1))).otherwise(F.col("y"))).groupBy("kind", "x", "y").agg(F.sum("n").alias("n"))
+    model = Model([(r.kind, r.x, r.y, "", r.n) for r in seen.collect()])
+
+    def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [[0.0, 0.0] for _ in range(GAPS + 1)]
+        for b in cut_batches(batches, "body", 8_000_000):
+            for x in b.column("body").to_pylist():
+                for p, q in paragraphs(x):
+                    _, odds, gaps = model.chain(x, p, q)
+                    if odds:
+                        for g, (yes, no) in zip(gaps, posteriors(odds, [1.0] * len(odds))[1]):
+                            sums[g][0] += yes
+                            sums[g][1] += no
+        yield pa.RecordBatch.from_arrays([pa.array(range(GAPS + 1), pa.int32()), *(pa.array([s[i] for s in sums]) for i in range(2))], names=["g", "yes", "no"])
+
+    model.learn_turns({r.g: (r.yes, r.no) for r in d.mapInArrow(turns, "g int, yes double, no double").groupBy("g").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()})
+    return model
 
 
 def split_sentences(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:

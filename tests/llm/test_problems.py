@@ -449,6 +449,38 @@ def test_sentences(spark):
     assert [e for e, *_ in sentences.slots(zh, 0, len(zh))] == [5, 12, 18] and [e for e, *_ in sentences.slots(th, 0, len(th))] == [11, 23]
 
 
-def test_posteriors_are_probabilities():
-    p = sentences.posteriors([3.0, -3.0, 0.0, 5.0], [4, 0, 3, 2])
-    assert all(0 <= x <= 1 for x in p) and p[0] > 0.9 and p[1] < 0.1
+def test_posteriors_are_those_of_all_paths():
+    odds, turn = [3.0, -1.0, 0.5, 5.0], [1.0, 0.2, 0.6, 1.0]
+    yes, no = (lambda o: 1 / (1 + np.exp(-o))), (lambda o: 1 / (1 + np.exp(o)))
+    weight = {}
+    for path in itertools.product((1, 0), repeat=4):
+        w, before = 1.0, 1
+        for o, t, y in zip(odds, turn, path):
+            w *= (yes(o) * (t if before else 1.0)) if y else no(o)
+            before = y
+        weight[path] = w
+    total = sum(weight.values())
+    p, pairs = sentences.posteriors(odds, turn)
+    for k in range(4):
+        assert p[k] == pytest.approx(sum(w for x, w in weight.items() if x[k]) / total)
+        before = lambda x: x[k - 1] if k else 1
+        assert pairs[k] == pytest.approx(tuple(sum(w for x, w in weight.items() if before(x) and x[k] == y) / total for y in (1, 0)))
+
+
+@pytest.mark.parametrize("side", ["latin", "chinese"])
+def test_sentences_without_punctuation(spark, side):
+    rnd = random.Random(21)
+    if side == "latin":
+        say = lambda: " ".join([rnd.choice(["The", "Every", "My"]), *(rnd.choice(["old", "red", "small", "cat", "index", "table", "near"]) for _ in range(rnd.randrange(3, 7))), rnd.choice(["again", "today", "there"])])
+        join, mark = " ", ". "
+    else:
+        say = lambda: rnd.choice(["我们", "今天", "他的"]) + "".join(rnd.choice("缓存索引表格报告结果服务器") for _ in range(rnd.randrange(6, 11))) + rnd.choice(["完了", "好吗", "之中"])
+        join, mark = "", "。"
+    rows = [(i, mark.join(say() for _ in range(3)) + mark.strip()) for i in range(400)]
+    m = sentences.train(frame(spark, rows, "id bigint, text string"), "text")
+    parts = [say().lower() for _ in range(40)]
+    text = join.join(parts)
+    want = set(np.cumsum([len(x) + len(join) for x in parts]) - len(join))
+    got = set(m.decide(text))
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+    assert m.decide("A Heading Of Few Words") == [22]
