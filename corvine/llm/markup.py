@@ -3,8 +3,9 @@
 Code and formulas are set aside first, since signs inside them mean nothing.
 What holds tags then streams through the standard library's HTML parser, whose
 events open and close headings, items and paragraphs; the ratio of text to tags
-per line, smoothed by a Gaussian and split into two clusters, tells the lines of
-content from the tag-heavy ones around them. Blocks between blank lines are read
+per line, smoothed by a Gaussian and split into two clusters, tells the regions of
+content from the tag-heavy ones around them, whose lines of mere links (menus,
+breadcrumbs, link lists) are left out. Blocks between blank lines are read
 as Markdown, wiki or LaTeX structure, and inline markup is taken off what is left.
 """
 
@@ -43,6 +44,7 @@ _CODE = {"fence": MARKDOWN, "pre": HTML, "high": WIKI, "verb": LATEX}
 _FORMULA = {"env": LATEX, "square": LATEX, "round": LATEX, "two": MARKDOWN, "math": "", "one": ""}
 
 _TAG = re.compile(r"</?(?:p|div|h[1-6]|ul|ol|li|dl|dt|dd|b|i|u|em|strong|span|a|br|hr|code|nav|table|t[rdh]|thead|tbody|script|style|img|blockquote|section|article|header|footer|main|body|html|head|title|sup|sub|small|font|center)\b[^<>]*>|<!--", re.I)
+_LINK = re.compile(r"<a\b[^<>]*>(.*?)</a>", re.I)
 _ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#\d+|#x[0-9a-fA-F]+);")
 _WIKI = re.compile(r"'''?[^'\n]+'''?|\[\[[^\[\]\n]+\]\]|\{\{[^{}\n]+\}\}|<ref\b|^(={2,6})[^=\n].*?\1[ \t]*$", re.M | re.I)
 _LATEX = re.compile(r"\\(?:(?:sub)*section|chapter|paragraph|begin|end|textbf|textit|emph|texttt|underline|cite|footnote|item|label|ref)\b|\\[_#$%&{}]|^%[ \t]", re.M)
@@ -109,7 +111,7 @@ def content_lines(lines: list[str], width: float = 1.5) -> list[bool]:
 
     The ratios are smoothed by a Gaussian over neighbouring lines and split into
     two clusters by their means; lines below the split that hold mostly tags are
-    not content.
+    not content. Where all lines are alike there is one cluster and all are.
     """
     ratio = []
     for x in lines:
@@ -132,10 +134,19 @@ def content_lines(lines: list[str], width: float = 1.5) -> list[bool]:
         if not a or not b:
             break
         low, high = sum(a) / len(a), sum(b) / len(b)
-    cut = (low + high) / 2 * 0.25
+    if high < 4 * low:
+        return [True] * n
+    cut = (low + high) / 2 * 0.5
     return [s > cut or r > cut for s, r in zip(smooth, ratio)]
 
 
+def _linked(line: str) -> bool:
+    """Whether a line holds links and hardly any text of its own, as menus do."""
+    inner = sum(len(_TAG.sub("", x).split()) for x in _LINK.findall(line))
+    own = len(re.findall(r"\w+", _TAG.sub("", _LINK.sub(" ", line))))
+    return inner > 0 and own < inner and _OPEN not in line and not re.search(r"<h[1-6]\b", line, re.I)
+
+
 class Analysis:
     """What a text holds: its markup languages, elements and blocks in order."""
 
@@ -186,9 +197,7 @@ def analyse(text: str | None) -> Analysis:
         if _TAG.search(t):
             found.add(HTML)
             lines = t.split("\n")
-            if len(lines) > 3:
-                good = content_lines(lines)
-                t = "\n".join(x for x, ok in zip(lines, good) if ok or not x.strip() or _OPEN in x or re.search(r"<(?:/?(?:h[1-6]|li|ul|ol|p|div|nav|script|style)\b|a id)", x, re.I) or not _TAG.search(x))
+            t = "\n".join(x for x, ok in zip(lines, content_lines(lines)) if ok or not _linked(x))
         if "<ref" in t:
             found.add(WIKI)
         if _ENTITY.search(t):

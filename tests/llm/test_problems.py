@@ -328,6 +328,20 @@ def test_markup(text, want):
     assert {("residue", x) for x in a.languages} | set(a.elements) == want
 
 
+def test_content_regions_leave_out_menus(monkeypatch):
+    menu = "\n".join(f'<li><a href="/{x}">{x} page</a></li>' for x in ("Home", "About", "Contact", "Imprint", "Help"))
+    crumbs = '<div class="b"><a href="/">Start</a> | <a href="/d">Docs</a> | <a href="/d/x">Index</a></div>'
+    body = "\n".join(f"<p>The index of part {k} holds every chunk of the collection, as <a href='#{k}'>note {k}</a> explains at some length.</p>" for k in range(6))
+    items = "<ul>\n<li>first <a href='#'>own item</a> of the text itself</li>\n<li>second</li>\n</ul>"
+    page = f"{crumbs}\n<ul>\n{menu}\n</ul>\n<h1>Title</h1>\n{body}\n{items}"
+    a = markup.analyse(page)
+    assert {x for k, x in a.elements if k == "list_item"} == {"first own item of the text itself", "second"}
+    clean = markup.clean_text(a)
+    assert "Start" not in clean and "Imprint" not in clean and clean.count("at some length") == 6 and "# Title" in clean
+    monkeypatch.setattr(markup, "content_lines", lambda lines: [True] * len(lines))
+    assert "Imprint" in markup.clean_text(markup.analyse(page))
+
+
 def test_markup_frame(spark):
     df = frame(spark, [(1, "# H\n\n*x*"), (2, None), (3, "plain")], "id int, text string").selectExpr("*", "'c' AS kind", "'d' AS body")
     assert {tuple(r) for r in markup.markup_elements(df, ["id"], "text").collect()} == {(1, "residue", "markdown"), (1, "heading", "H")}
