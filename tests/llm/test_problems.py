@@ -33,6 +33,15 @@ def test_scan_cases():
 
 def test_scan_repair_joins_paragraphs():
     assert scans.repaired("The report of the candi-\n\n[7]\n\ndates merges\nthe index.\n\nThe half.", lexicon()) == "The report of the candidates merges the index.\n\nThe half."
+    plain = "# Title\n- item one\n- item two\ndef f(x):\n    return x\nfoo | bar\n\nlow half of the report"
+    assert scans.repaired(plain, lexicon()) == plain
+    page = "The report of the half merges the results around\nthe candi-\ndates of the index.\n\n- item one of the report\n- item two\n\nHeading of it\nThe quarter1y report of the results merges the\nhalf of it.\n12\n"
+    assert scans.repaired(page, lexicon()) == "The report of the half merges the results around the candidates of the index.\n\n- item one of the report\n- item two\n\nHeading of it\nThe quarterly report of the results merges the half of it."
+    wide = "x" * 300
+    even = "\n".join(["The half of the report around the quarterly index", "merges the half of the results around the candi-", "dates of the index and all of the half around the", "results, the report around the quarter1y index of", "it."])
+    assert scans.repaired(f"{wide}\n\n{even}\n\n{wide}", lexicon()).split("\n")[2] == "The half of the report around the quarterly index merges the half of the results around the candidates of the index and all of the half around the results, the report around the quarterly index of it."
+    assert scans.repaired(f"{wide}\n\nShort Heading 3\n\n{wide}", lexicon()) == f"{wide}\n\nShort Heading 3\n\n{wide}"
+    assert {c[0] for c in scans.cases(f"{wide}\n{even}\n```\nquarter1y\n```", lexicon())} == {3, 5}
     assert scans.repaired(None, lexicon()) is None and scans.repaired("", lexicon()) == ""
 
 
