@@ -31,6 +31,7 @@ LANGUAGES = ("en", "fr", "de", "es", "pt", "ru", "zh", "ja", "th", "hi")
 SAMPLE_DOCS, SAMPLE_SENTENCES = 100, 40
 #: N-grams in a profile, the longest n-gram, and n-grams in a sentence's ranking.
 PROFILE, LONGEST, OWN = 600, 4, 300
+_ABSENT = 20_000
 #: Share by which the second language must be farther off for a sentence to stand against its
 #: record's main language, and what a sentence of one word needs besides (of n words, that over n squared).
 MARGIN, SHORT = 0.05, 0.5
@@ -73,8 +74,8 @@ def ngrams(word: str) -> list[str]:
 
 
 class Profiles:
-    """Profiles as one table: a row for each n-gram some profile holds, the ranks
-    in all languages in its columns, ``PROFILE`` where a profile lacks it."""
+    """Profiles as one table: a row for each language, a column for each n-gram
+    some profile holds."""
 
     def __init__(self, ranks: dict[str, dict[str, int]]):
         self.languages = [x for x in LANGUAGES if ranks.get(x)]
@@ -82,10 +83,10 @@ class Profiles:
         # Equally frequent n-grams of a sentence go by their place in all profiles.
         order = sorted(found, key=lambda g: (sum(ranks[x].get(g, PROFILE) for x in self.languages), g))
         self.ids = {g: i for i, g in enumerate(order)}
-        self.ranks = np.full((len(order) + 1, len(self.languages)), PROFILE, dtype=np.int16)
+        self.ranks = np.full((len(self.languages), len(order) + 1), _ABSENT, dtype=np.int16)
         for j, x in enumerate(self.languages):
             for g, r in ranks[x].items():
-                self.ranks[self.ids[g], j] = r
+                self.ranks[j, self.ids[g]] = r
         self.words: dict[str, np.ndarray] = {}
 
     def __getstate__(self):
@@ -100,12 +101,14 @@ class Profiles:
         self.words[word] = found
         return found
 
-    def distances(self, evidence: list[list[str]]) -> np.ndarray:
+    def distances(self, evidence: list[list[str]], among: list[int] | None = None) -> np.ndarray:
         """Mean out-of-place distance of each text, given as its words, to each
-        language: how far, n-gram by n-gram, its own ranking is from the profile's."""
+        language (or some): how far, n-gram by n-gram, its own ranking is from the
+        profile's; what a profile lacks is ``PROFILE`` places off."""
         get = self.words.get
-        if not evidence or not self.languages:
-            return np.zeros((len(evidence), len(self.languages)))
+        among = list(range(len(self.languages))) if among is None else among
+        if not evidence or not among:
+            return np.zeros((len(evidence), len(among)))
         parts = [w if (w := get(x)) is not None else self._word(x) for e in evidence for x in e]
         sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         texts = np.repeat(np.arange(len(evidence)), [len(e) for e in evidence])
@@ -120,12 +123,17 @@ class Profiles:
         rank = np.arange(len(text)) - np.repeat(first, np.diff(np.append(first, len(text))))
         near = rank < OWN
         text, gram, rank = text[near], gram[near], rank[near].astype(np.int16)
-        theirs = self.ranks[np.minimum(gram, len(self.ids))]
-        apart = np.where(theirs == PROFILE, np.int16(PROFILE), np.abs(theirs - rank[:, None]))
-        out = np.full((len(evidence), len(self.languages)), float(PROFILE))
+        out = np.full((len(evidence), len(among)), float(PROFILE))
         if len(text):
+            gram = np.minimum(gram, len(self.ids))
             first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-            out[text[first]] = np.add.reduceat(apart, first, axis=0, dtype=np.int64) / np.diff(np.append(first, len(text)))[:, None]
+            size = np.diff(np.append(first, len(text)))
+            for j, i in enumerate(among):
+                apart = self.ranks[i].take(gram)
+                apart -= rank
+                np.abs(apart, out=apart)
+                np.minimum(apart, PROFILE, out=apart)
+                out[text[first], j] = np.add.reduceat(apart, first, dtype=np.int32) / size
         return out
 
     def name(self, found: list[str]) -> list[tuple[str, float, str]]:
@@ -136,14 +144,36 @@ class Profiles:
         return self.name_evidence(evidence)
 
     def name_evidence(self, evidence: list[str]) -> list[tuple[str, float, str]]:
-        d = self.distances([e.split() for e in evidence])
+        """The same of evidence. What is all Latin is compared with the languages
+        of that script, anything else with all."""
+        out: list[tuple[str, float, str]] = [("", 0.0, "")] * len(evidence)
+        latin = [i for i, x in enumerate(self.languages) if _SCRIPT_OF[x] == "l"]
+        for among, plain in ((latin, True), (list(range(len(self.languages))), False)):
+            mine = [k for k, e in enumerate(evidence) if e and (e.isascii() or script(max(e)) == "l") == plain]
+            at = 0
+            while at < len(mine):
+                part, letters = [], 0
+                while at < len(mine) and (letters < 200_000 or not part):
+                    part.append(mine[at])
+                    letters += len(evidence[mine[at]])
+                    at += 1
+                self._name(evidence, part, among, out)
+        return out
+
+    def _name(self, evidence: list[str], part: list[int], among: list[int], out: list) -> None:
+        d = self.distances([evidence[k].split() for k in part], among)
         if d.shape[1] < 2:
-            return [(self.languages[0], 1.0, "") if e and self.languages else ("", 0.0, "") for e in evidence]
+            for k in part:
+                out[k] = (self.languages[among[0]], 1.0, "") if among else ("", 0.0, "")
+            return
         two = np.argpartition(d, 1, axis=1)[:, :2]
         two = np.where(np.take_along_axis(d, two[:, :1], 1) <= np.take_along_axis(d, two[:, 1:], 1), two, two[:, ::-1])
         best, next_ = np.take_along_axis(d, two, 1).T
         margin = (next_ - best) / np.maximum(1e-9, next_)
-        return [(self.languages[i], c, self.languages[j] if c < MARGIN + SHORT / (1 + e.count(" ")) ** 2 else "") if e and b < PROFILE else ("", 0.0, "") for e, (i, j), c, b in zip(evidence, two.tolist(), margin.tolist(), best.tolist())]
+        for k, (i, j), c, b in zip(part, two.tolist(), margin.tolist(), best.tolist()):
+            if b < PROFILE:
+                close = c < MARGIN + SHORT / (1 + evidence[k].count(" ")) ** 2
+                out[k] = (self.languages[among[i]], c, self.languages[among[j]] if close else "")
 
 
 def sentences(text: str | None) -> Iterator[str]:
