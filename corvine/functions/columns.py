@@ -23,6 +23,71 @@ def char_bigrams(c: Column) -> Column:
     return F.when(F.length(c) < 2, F.array(c)).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))
 
 
+#: Languages written without spaces, and families.
+UNSPACED = ["zh", "ja", "th", "lo", "my", "km"]
+CJK = ["zh", "ja", "ko"]
+FAMILIES = {
+    "germanic": ["en", "de", "nl", "sv", "da", "no"],
+    "romance": ["fr", "es", "it", "pt", "ro"],
+    "slavic": ["ru", "pl", "cs", "uk", "bg"],
+    "cjk": ["zh", "ja", "ko"],
+    "semitic": ["ar", "he"],
+}
+#: Words that tell a language.
+TELLING = {
+    "en": ["the", "and", "of", "is", "to", "that", "with", "for"],
+    "fr": ["le", "la", "les", "et", "est", "des", "une", "que"],
+    "de": ["der", "die", "das", "und", "ist", "nicht", "ein", "mit"],
+    "es": ["el", "los", "las", "y", "es", "una", "que", "con"],
+    "pt": ["o", "os", "as", "e", "um", "uma", "não", "com"],
+}
+
+
+def is_cjk(language: Column) -> Column:
+    return F.coalesce(language.isin(*CJK), F.lit(False))
+
+
+def is_unspaced(language: Column) -> Column:
+    """Whether a language needs another cut into tokens than at white space."""
+    return F.coalesce(language.isin(*UNSPACED), F.lit(False))
+
+
+def language_family(language: Column) -> Column:
+    return F.coalesce(*[F.when(language.isin(*xs), F.lit(f)) for f, xs in FAMILIES.items()], F.lit("other"))
+
+
+def detect_language(text: Column) -> Column:
+    """Struct of ``language`` and ``confidence``: the script, or for Latin letters
+    the language with most telling words. Blank texts are English with 0, texts
+    without any sign English with 0.5. Only a first guess for routing."""
+    share = lambda p: F.regexp_count(text, F.lit(p)) / F.greatest(F.length(F.regexp_replace(text, r"\s", "")), F.lit(1))
+    scripts = [("ja", r"[\x{3040}-\x{30ff}]", 0.1), ("zh", r"[\x{4e00}-\x{9fff}]", 0.3), ("ko", r"[\x{ac00}-\x{d7af}]", 0.3), ("th", r"[\x{0e00}-\x{0e7f}]", 0.3), ("ru", r"[\x{0400}-\x{04ff}]", 0.3), ("hi", r"[\x{0900}-\x{097f}]", 0.3), ("ar", r"[\x{0600}-\x{06ff}]", 0.3)]
+    words = whitespace_tokens(text)
+    votes = [(x, F.size(F.filter(words, lambda w, ws=ws: w.isin(*ws)))) for x, ws in TELLING.items()]
+    best = F.greatest(*(n for _, n in votes))
+    latin = F.coalesce(*[F.when((n == best) & (best > 0), F.lit(x)) for x, n in votes], F.lit("en"))
+    sure = F.when(best > 0, F.least(F.lit(1.0), 0.5 + best / F.greatest(F.size(words), F.lit(1)))).otherwise(0.5)
+    kind = F.coalesce(*[F.when(share(p) > least, F.struct(F.lit(x).alias("language"), F.lit(0.95).alias("confidence"))) for x, p, least in scripts], F.struct(latin.alias("language"), sure.alias("confidence")))
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.struct(F.lit("en").alias("language"), F.lit(0.0).alias("confidence"))).otherwise(kind)
+
+
+def language_tokens(text: Column, language: Column, stop: dict[str, list[str]] | None = None) -> Column:
+    """Lower-cased tokens of a text in its language: pairs of characters where
+    there are no spaces, else words without the language's stop words. Null
+    texts have none."""
+    words = word_tokens(text)
+    for x, ws in (stop or {}).items():
+        if ws:
+            words = F.when(language == x, F.filter(words, lambda w, ws=ws: ~w.isin(*ws))).otherwise(words)
+    pairs = F.flatten(F.transform(words, char_bigrams))
+    return F.coalesce(F.when(is_unspaced(language), pairs).otherwise(words), F.array().cast("array<string>"))
+
+
+def digest(c: Column, bits: int = 256) -> Column:
+    """Hexadecimal hash of a text, SHA-2 or, with 128 bits, MD5."""
+    return F.md5(c) if bits == 128 else F.sha2(c, bits)
+
+
 def token_count(c: Column) -> Column:
     """Tokens of a text, four characters each."""
     return F.floor(F.length(c) / 4).cast("int")

@@ -95,44 +95,74 @@ def strategy(filename, text):
     return F.when(F.lower(filename).rlike(r"\.(md|markdown)$") & heads, "markdown").when(F.lower(filename).rlike(r"\.(py|js|ts|java|go|rs|c|cpp|h)$"), "recursive").otherwise("semantic")
 
 
-def chunk_documents(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
-    """``(filename, strategy, chunk_index, total_chunks, content, n_tokens)`` of
-    ``(filename, text)``. Null and blank texts give no chunk."""
-    d = df.select("filename", "text", strategy(F.col("filename"), F.col("text")).alias("strategy")).filter("trim(text) <> ''")
+#: Ways to cut a text by name, ``(text, size, overlap, least) -> [(chunk, headings)]``; add one to have it used.
+CHUNKERS = {
+    "semantic": lambda t, *a: [(c, {}) for c in by_sentences(t, *a)],
+    "recursive": lambda t, *a: [(c, {}) for c in recursive(t, *a)],
+    "markdown": lambda t, *a: by_headings(t, *a),
+}
+
+
+def chunk_documents(df: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, way: str | None = None) -> DataFrame:
+    """``(filename, strategy, chunk_index, total_chunks, content, n_tokens,
+    headings)`` of ``(filename, text)``; ``headings`` maps 'Header 1' to 'Header
+    3' to the headings above a chunk. Null and blank texts give no chunk. ``way``
+    is one of ``CHUNKERS``, else it follows the file."""
+    kind = F.lit(way) if way else strategy(F.col("filename"), F.col("text"))
+    d = df.select("filename", "text", kind.alias("strategy")).filter("trim(text) <> ''")
+    ways = dict(CHUNKERS)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for f, t, s in zip(b["filename"], b["text"], b["strategy"]):
-                c = [x for x, _ in by_headings(t, size, overlap, least)] if s == "markdown" else recursive(t, size, overlap, least) if s == "recursive" else by_sentences(t, size, overlap, least)
-                rows += [(f, s, i, len(c), x, tokens(x)) for i, x in enumerate(c)]
-            yield pd.DataFrame(rows, columns=["filename", "strategy", "chunk_index", "total_chunks", "content", "n_tokens"])
+                c = ways[s](t, size, overlap, least)
+                rows += [(f, s, i, len(c), x, tokens(x), h) for i, (x, h) in enumerate(c)]
+            yield pd.DataFrame(rows, columns=["filename", "strategy", "chunk_index", "total_chunks", "content", "n_tokens", "headings"])
 
-    return d.mapInPandas(cut, "filename string, strategy string, chunk_index int, total_chunks int, content string, n_tokens int")
+    return d.mapInPandas(cut, "filename string, strategy string, chunk_index int, total_chunks int, content string, n_tokens int, headings map<string,string>")
 
 
-def parents(df: DataFrame, size: int = 2048) -> DataFrame:
-    """Parents of successive chunks of a document up to ``size`` tokens:
-    ``(filename, parent_no, first_index, last_index, n_tokens)``. A document's
-    chunks are one group; only their sizes are moved."""
+def parents(df: DataFrame, size: int = 2048, overlap: int = 512) -> DataFrame:
+    """Parents of successive chunks of a document up to ``size`` tokens, each
+    opening with the last chunks of the one before as far as ``overlap`` allows:
+    ``(filename, parent_no, first_index, last_index, n_tokens)``. A chunk larger
+    than ``size`` is a parent alone. A document's chunks are one group; only
+    their sizes are moved."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("chunk_index")
-        out, start, total = [], None, 0
-        for i, n in zip(g["chunk_index"], g["n_tokens"]):
-            if start is not None and total + n > size:
-                out.append((start, last, total))
-                start, total = None, 0
-            start = i if start is None else start
-            last, total = i, total + n
-        if start is not None:
-            out.append((start, last, total))
-        return pd.DataFrame([(g["filename"].iloc[0], k, a, b, n) for k, (a, b, n) in enumerate(out)], columns=["filename", "parent_no", "first_index", "last_index", "n_tokens"])
+        index, n = g["chunk_index"].to_numpy(), g["n_tokens"].to_numpy()
+        out, a = [], 0
+        while a < len(n):
+            b, total = a, 0
+            while b < len(n) and (b == a or total + n[b] <= size):
+                total += n[b]
+                b += 1
+            out.append((index[a], index[b - 1], total))
+            if b == len(n):
+                break
+            back, held = b, 0
+            while back - 1 > a and held + n[back - 1] <= overlap and held + n[back - 1] + n[b] <= size:
+                back -= 1
+                held += n[back]
+            a = back
+        return pd.DataFrame([(g["filename"].iloc[0], k, *x) for k, x in enumerate(out)], columns=["filename", "parent_no", "first_index", "last_index", "n_tokens"])
 
     return df.select("filename", "chunk_index", "n_tokens").groupBy("filename").applyInPandas(one, "filename string, parent_no int, first_index int, last_index int, n_tokens int")
 
 
-def contextual(title, section, content):
-    """A chunk's text behind the document's title and section, for embedding."""
-    head = F.concat_ws(" ", F.when(title.isNotNull(), F.concat(F.lit("Document: "), title, F.lit("."))), F.when(section.isNotNull(), F.concat(F.lit("Section: "), section, F.lit("."))))
+def children(parents: DataFrame) -> DataFrame:
+    """``(filename, chunk_index, parent_no)``: of the parents a chunk is in, the last."""
+    each = parents.select("filename", "parent_no", F.explode(F.sequence("first_index", "last_index")).alias("chunk_index"))
+    return each.groupBy("filename", "chunk_index").agg(F.max("parent_no").alias("parent_no"))
+
+
+def contextual(title, section, content, summary=None, headings=None):
+    """A chunk's text behind the document's title and summary and the section it
+    is in, for embedding; without ``section`` the path of its ``headings``."""
+    path = F.concat_ws(" > ", *[F.try_element_at(headings, F.lit(f"Header {k}")) for k in (1, 2, 3)]) if headings is not None else F.lit("")
+    section = F.coalesce(section, F.nullif(path, F.lit("")))
+    part = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), c, F.lit(".")))
+    head = F.concat_ws(" ", part("Document", title), part("Context", F.rtrim(summary, F.lit("."))) if summary is not None else F.lit(None), part("Section", section))
     return F.when(head != "", F.concat(head, F.lit("\n\n"), content)).otherwise(content)

@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 from corvine.functions.columns import token_count, whitespace_tokens
 from corvine.operators.ranked import by_score
 
-#: Rows of one query the greedy operators take; lists are short by construction.
-MOST_CANDIDATES = 10_000
-
-
 def _unit(e: pd.Series) -> np.ndarray:
     x = np.asarray(e.tolist(), dtype=np.float64)
     n = np.linalg.norm(x, axis=1, keepdims=True)
@@ -22,30 +18,36 @@ def _unit(e: pd.Series) -> np.ndarray:
 
 
 def remove_near_duplicates(df: DataFrame, limit: float = 0.95) -> DataFrame:
-    """Drop, in rank order, what has a cosine above ``limit`` with a row already
-    kept. Takes ``(query_id, chunk_id, score, rank, embedding)``; rows without a
-    vector stay. Each query's list is one group; a longer one than
-    ``MOST_CANDIDATES`` is refused, since it is no ranked list."""
+    """Drop, in rank order, what is too like a row already kept: by cosine above
+    ``limit`` where both have a vector, else by the share of common words. Takes
+    ``(query_id, chunk_id, score, rank, embedding)`` and, for rows without a
+    vector, ``text``; a row with neither stays. Each query's list is one group, as
+    long as the list that is given in."""
     kinds = dict(df.dtypes)
+    text = F.col("text") if "text" in kinds else F.lit(None).cast("string")
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) > MOST_CANDIDATES:
-            raise ValueError("a ranked list is too long")
         g = g.sort_values("rank")
-        kept: list[np.ndarray] = []
-        keep = []
-        for e in g["embedding"]:
-            if e is None:
-                keep.append(True)
-                continue
-            u = _unit(pd.Series([e]))[0]
-            ok = not kept or float(np.max(np.asarray(kept) @ u)) <= limit
+        vectors, bags = None, []
+        n, keep = 0, []
+        for e, t in zip(g["embedding"], g["text"]):
+            bag = frozenset((t or "").lower().split())
+            if e is not None:
+                u = _unit(pd.Series([e]))[0]
+                ok = n == 0 or float((vectors[:n] @ u).max()) <= limit
+                if ok:
+                    if vectors is None or n == len(vectors):
+                        vectors = np.resize(vectors if vectors is not None else np.zeros((1, len(u))), (max(16, 2 * n), len(u)))
+                    vectors[n] = u
+                    n += 1
+            else:
+                ok = not bag or all(len(bag & b) / len(bag | b) <= limit for b in bags)
             keep.append(ok)
-            if ok:
-                kept.append(u)
+            if ok and bag:
+                bags.append(bag)
         return g.loc[keep, ["query_id", "chunk_id", "score", "rank"]]
 
-    return df.select("query_id", "chunk_id", "score", "rank", "embedding").groupBy("query_id").applyInPandas(one, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double, rank int")
+    return df.select("query_id", "chunk_id", "score", "rank", "embedding", text.alias("text")).groupBy("query_id").applyInPandas(one, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double, rank int")
 
 
 def diversify(df: DataFrame, k: int, weight: float = 0.5, limit: float = 0.5) -> DataFrame:
@@ -56,8 +58,6 @@ def diversify(df: DataFrame, k: int, weight: float = 0.5, limit: float = 0.5) ->
     kinds = dict(df.dtypes)
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) > MOST_CANDIDATES:
-            raise ValueError("a ranked list is too long")
         g = g[g["embedding"].notna()].sort_values("rank").reset_index(drop=True)
         n = len(g)
         if n == 0:
@@ -124,3 +124,21 @@ def prompt(df: DataFrame) -> DataFrame:
     filename, score, rank, text)``; a list is short, so a query's text is too."""
     line = F.format_string("[%d] %s (score: %.1f%%)\n%s", F.col("rank"), F.col("filename"), F.col("score") * 100, F.col("text"))
     return df.groupBy("query_id").agg(F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])).alias("prompt"))
+
+
+def sources(df: DataFrame, most: int | None = None, length: int = 500) -> DataFrame:
+    """``(query_id, rank, chunk_id, filename, score, snippet)``: what is shown of a
+    list, texts longer than ``length`` cut with an ellipsis. Takes ``(query_id,
+    chunk_id, filename, score, rank, text)``."""
+    x = df if most is None else df.filter(F.col("rank") <= most)
+    return x.select("query_id", "rank", "chunk_id", "filename", "score", F.when(F.length("text") > length, F.concat(F.substring("text", 1, length), F.lit("…"))).otherwise(F.col("text")).alias("snippet"))
+
+
+def compress(df: DataFrame, budget: int, shorten, share: float = 0.8) -> DataFrame:
+    """A second pass over lists that use more than ``share`` of the budget:
+    ``shorten(text)`` makes a column of each text (a Pandas UDF around a model).
+    Takes and gives ``(query_id, chunk_id, score, n_tokens, text)``."""
+    used = F.sum("n_tokens").over(W.partitionBy("query_id"))
+    x = df.withColumn("_used", used)
+    text = F.when(F.col("_used") > share * budget, shorten(F.col("text"))).otherwise(F.col("text"))
+    return x.select("query_id", "chunk_id", "score", text.alias("text")).select("query_id", "chunk_id", "score", token_count(F.col("text")).alias("n_tokens"), "text")

@@ -48,3 +48,30 @@ def compare(runs: DataFrame, relevant: DataFrame, queries: DataFrame, k: int = 1
         (k,),
     )
     return m.groupBy(F.split("query_id", "\u0001")[0].alias("strategy")).agg(F.avg("rr").alias("mrr"), F.avg("ap").alias("map"), F.avg(f"ndcg_{k}").alias(f"ndcg_{k}"))
+
+
+def judge(samples: DataFrame, judges: dict[str, object]) -> DataFrame:
+    """``samples`` with a column for each judge, a callable that makes a column of
+    scores out of columns ``query, answer, context``; scores are held between 0
+    and 1, and what isn't a number counts 0.5."""
+    raw = {n: f(F.col("query"), F.col("answer"), F.col("context")).cast("double") for n, f in judges.items()}
+    return samples.withColumns({n: F.when(c.isNull() | F.isnan(c), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))) for n, c in raw.items()})
+
+
+def questions(chunks: DataFrame, write, per_chunk: int = 1) -> DataFrame:
+    """``(query_id, query, chunk_id)``: synthetic questions whose answer is a chunk.
+    ``write(text)`` makes a column of questions, an array of strings."""
+    q = chunks.select("chunk_id", F.posexplode(F.slice(write(F.col("text")), 1, per_chunk)).alias("n", "query"))
+    return q.filter("query <> ''").select(F.concat_ws("#", F.col("chunk_id").cast("string"), F.col("n").cast("string")).alias("query_id"), "query", "chunk_id")
+
+
+def export(metrics: DataFrame, path: str, kind: str = "json") -> None:
+    """One row of metrics as JSON, or as rows ``metric,value`` of CSV."""
+    if kind == "json":
+        metrics.coalesce(1).write.mode("overwrite").json(path)
+    elif kind == "csv":
+        names = metrics.columns
+        pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("string").alias("value")) for n in names])
+        metrics.select(F.explode(pairs).alias("p")).select("p.*").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    else:
+        raise ValueError(f"neither json nor csv: {kind}")

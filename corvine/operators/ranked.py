@@ -87,16 +87,26 @@ def corrective_merge(initial: DataFrame, retry: DataFrame, graded: DataFrame, k:
     return initial.join(weak, "query_id", "left_anti").select("query_id", "chunk_id", "score", "rank").unionByName(again.select("query_id", "chunk_id", "score", "rank"))
 
 
-def contrastive(positive: DataFrame, negative: DataFrame, vectors: DataFrame, k: int, penalty: float = 0.5, limit: float = 0.7) -> DataFrame:
+def contrastive(
+    positive: DataFrame, negative: DataFrame, vectors: DataFrame, k: int, penalty: float = 0.5, limit: float = 0.7, texts: DataFrame | None = None, terms: DataFrame | None = None
+) -> DataFrame:
     """Lower chunks close to what the query excludes: ``penalty`` of the greatest
-    cosine to a negative chunk is taken off where it passes ``limit``. Rows that
-    fall to 0 or below are dropped."""
-    from corvine.functions.columns import cosine
+    cosine to a negative chunk is taken off where it passes ``limit``, and a
+    tenth, 0.3 at most, for every occurrence of an excluded term in the chunk's
+    text. Rows that fall to 0 or below are dropped. Chunks without a vector keep
+    their score. Takes ``texts(chunk_id, text)`` and ``terms(query_id, terms
+    ARRAY)`` for the second part."""
+    from corvine.functions.columns import cosine, occurrences
 
     e = vectors.select("chunk_id", "embedding")
-    p = positive.join(e, "chunk_id").select("query_id", "chunk_id", "score", F.col("embedding").alias("p"))
-    n = negative.join(e, "chunk_id").select("query_id", F.col("embedding").alias("n"))
+    p = positive.select("query_id", "chunk_id", "score").join(e.withColumnRenamed("embedding", "p"), "chunk_id", "left")
+    n = negative.select("query_id", "chunk_id").join(e, "chunk_id").select("query_id", F.col("embedding").alias("n"))
     near = p.join(n, "query_id").groupBy("query_id", "chunk_id").agg(F.max(cosine(F.col("p"), F.col("n"))).alias("near"))
     x = p.join(near, ["query_id", "chunk_id"], "left")
-    x = x.withColumn("score", F.col("score") - F.when(F.col("near") > limit, penalty * F.col("near")).otherwise(0.0))
+    off = F.when(F.col("near") > limit, penalty * F.col("near")).otherwise(0.0)
+    if texts is not None and terms is not None:
+        x = x.join(texts.select("chunk_id", F.lower("text").alias("_text")), "chunk_id", "left").join(terms.select("query_id", F.col("terms").alias("_terms")), "query_id", "left")
+        count = F.coalesce(F.aggregate("_terms", F.lit(0), lambda s, t: s + F.coalesce(occurrences(F.col("_text"), F.lower(t)), F.lit(0))), F.lit(0))
+        off = off + F.least(F.lit(0.3), count * 0.1)
+    x = x.withColumn("score", F.col("score") - off)
     return top_k(x.filter("score > 0").select("query_id", "chunk_id", "score"), k)

@@ -24,19 +24,53 @@ def recent(df: DataFrame, by: str, order: str, tie: str, most: int) -> DataFrame
     return df.withColumn("back", F.row_number().over(W.partitionBy(by).orderBy(F.desc(order), F.desc(tie)))).filter(F.col("back") <= most)
 
 
-def exact_cache(queries: DataFrame, cache: DataFrame, now: str, ttl_seconds: int = 3600) -> DataFrame:
-    """Queries answered by an entry of the same key not older than its life."""
-    fresh = cache.filter(F.col("ts") > F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(ttl_seconds)).cast("decimal(18,6)")))
-    return queries.join(fresh, "cache_key", "left_semi")
+def alive(cache: DataFrame, now: str, ttl_seconds: float) -> DataFrame:
+    """Entries whose ``ts`` is not older than their life; 0 or less never ends."""
+    if ttl_seconds <= 0:
+        return cache
+    return cache.filter(F.col("ts") >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(ttl_seconds)).cast("decimal(18,6)")))
 
 
-def semantic_cache(queries: DataFrame, cache: DataFrame, least: float = 0.95) -> DataFrame:
-    """``(query_id, cache_id, cosine)``: the cached query nearest to each query, if
-    near enough. Both are query sets, held in blocks by the vector search."""
-    from corvine.operators.search import vector_top_k
+def newest(cache: DataFrame, most: int) -> DataFrame:
+    """The entries that stay when the oldest leave first."""
+    return cache.orderBy(F.desc("ts"), F.desc("cache_id")).limit(most)
 
-    best = vector_top_k(cache, queries, 1, key="cache_id")
-    return best.filter(F.col("score") >= least).select("query_id", F.col("chunk_id").alias("cache_id"), F.col("score").alias("cosine"))
+
+def exact_cache(queries: DataFrame, cache: DataFrame, now: str, ttl_seconds: float = 3600) -> DataFrame:
+    """Queries answered by a living entry of the same key."""
+    return queries.join(alive(cache, now, ttl_seconds), "cache_key", "left_semi")
+
+
+def semantic_cache(queries: DataFrame, cache: DataFrame, now: str, least: float = 0.95, ttl_seconds: float = 3600, most: int = 100) -> DataFrame:
+    """``(query_id, cache_id, cosine)``: the entry nearest to each query among the
+    ``most`` newest living ones of the same ``k`` and filter, if near enough.
+
+    Takes ``queries(query_id, embedding, k, filter)`` and ``cache(cache_id,
+    embedding, k, filter, ts)``; null filters are equal. The cache is bounded by
+    ``most`` and broadcast. Ties go by the smaller cache_id.
+    """
+    from corvine.functions.columns import cosine
+
+    c = F.broadcast(alive(newest(cache, most), now, ttl_seconds).select("cache_id", F.col("embedding").alias("e"), F.col("k").alias("_k"), F.col("filter").alias("_f")))
+    near = queries.join(c, (F.col("k") == F.col("_k")) & F.col("filter").eqNullSafe(F.col("_f"))).select("query_id", "cache_id", cosine(F.col("embedding"), F.col("e")).alias("cosine"))
+    best = near.groupBy("query_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "cache_id")).alias("x")).select("query_id", F.col("x.cache_id").alias("cache_id"), (-F.col("x.c")).alias("cosine"))
+    return best.filter(F.col("cosine") >= least)
+
+
+def low_confidence(queries: DataFrame, retrievals: DataFrame, limit: float, most: int) -> DataFrame:
+    """Query events joined with their retrieval events by ``query_hash`` where the
+    confidence is below ``limit``, the least sure first. The hash isn't unique on
+    either side, so a query that was asked twice comes out with each."""
+    low = retrievals.filter(F.col("confidence") < limit)
+    return queries.join(low, "query_hash").orderBy("confidence", "query_hash", "query_id", "retrieval_id").limit(most)
+
+
+def totals(*tables: DataFrame) -> DataFrame:
+    """One row with the number of rows of all tables together."""
+    from functools import reduce
+
+    counts = [t.agg(F.count("*").alias("n")) for t in tables]
+    return reduce(DataFrame.unionByName, counts).agg(F.sum("n").alias("total"))
 
 
 def cache_key(query, k, collection):

@@ -10,12 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvine.functions import columns as C
 from corvine.operators import chunking, context, evaluation, filters, graph, ingest, ranked, search, telemetry, understanding
-from corvine.sources.parsers import html_text, table_text  # noqa: F401
 from corvine.storage import read_table
 from corvine.streaming import flows
 
@@ -149,20 +147,6 @@ def _(s, d):
     return rounded(search.vector_top_k(v, q, 10), "score")
 
 
-@query(
-    "contrastive_penalty",
-    f"""WITH {V}, n AS (SELECT q.vec_id - 1 AS query_id, c.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, c.e) DESC, c.vec_id) AS rank FROM v q, v c WHERE q.vec_id % 100 = 1 AND q.vec_id <> c.vec_id),
-    near AS (SELECT a.query_id, a.chunk_id, a.score, max(list_cosine_similarity(x.e, y.e)) AS near FROM a JOIN v x ON x.vec_id = a.chunk_id LEFT JOIN n ON n.query_id = a.query_id AND n.rank <= 10 LEFT JOIN v y ON y.vec_id = n.chunk_id WHERE a.rank <= 30 GROUP BY ALL),
-    z AS (SELECT query_id, chunk_id, score - CASE WHEN near > 0.7 THEN 0.5 * near ELSE 0 END AS score FROM near),
-    t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM z WHERE score > 0)
-    SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM t WHERE rank <= 10""",
-)
-def _(s, d):
-    v = vectors(s, d).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
-    neg = vector_run(s, d, 10, 1).withColumn("query_id", F.col("query_id") - 1)
-    return rounded(ranked.contrastive(vector_run(s, d, 30), neg, v, 10), "score")
-
-
 BM = r"""t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
     tf AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t), tc AS (SELECT doc_id, dl, term, count(*) AS tf FROM tf GROUP BY ALL),
     n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t), df AS (SELECT term, count(*) AS df FROM tc GROUP BY term),
@@ -185,7 +169,7 @@ def _(s, d):
 
 @query("confidence_grade")
 def _(s, d):
-    return understanding.grade(vector_run(s, d, 10))
+    return understanding.grade(vector_run(s, d, 10)).select("query_id", "confidence", "level")
 
 
 SQL["confidence_grade"] = f"""WITH {V}, g AS (SELECT query_id, max(score) AS best, stddev_pop(score) AS sd, count(*) AS n, max(CASE WHEN rank = 2 THEN score END) AS b2, max(CASE WHEN rank = 3 THEN score END) AS b3 FROM a WHERE rank <= 10 GROUP BY query_id),
@@ -195,12 +179,6 @@ SQL["confidence_grade"] = f"""WITH {V}, g AS (SELECT query_id, max(score) AS bes
     SELECT query_id, confidence, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' WHEN confidence >= 0.2 THEN 'low' ELSE 'very_low' END AS level FROM c"""
 
 
-@query("corrective_merge")
-def _(s, d):
-    a = vector_run(s, d, 10)
-    return rounded(ranked.corrective_merge(a, other_run(s, d, 10), understanding.grade(a), 10), "score")
-
-
 def judged_sets(s, d):
     """Vectors of the query's label are relevant to it."""
     v = vectors(s, d)
@@ -230,11 +208,6 @@ def _(s, d):
     return rounded(evaluation.compare(runs, rel, q), "mrr", "map", "ndcg_10")
 
 
-@query("greedy_dedup")
-def _(s, d):
-    return rounded(context.remove_near_duplicates(vector_run(s, d, 20).join(vectors(s, d).select("chunk_id", "embedding"), "chunk_id"), 0.5), "score")
-
-
 @query("mmr_diversify")
 def _(s, d):
     return rounded(context.diversify(vector_run(s, d, 20).join(vectors(s, d).select("chunk_id", "embedding"), "chunk_id"), 10), "score")
@@ -363,7 +336,8 @@ def _(s, d):
 @query("metadata_filter_ops", "SELECT doc_id FROM documents WHERE n_chars >= 500 AND n_chars < 3000 AND doc_type IN ('pdf', 'markdown') AND lower(filename) LIKE '%ban%' AND source <> 'archive'")
 def _(s, d):
     spec = {"n_chars": {"$gte": 500, "$lt": 3000}, "doc_type": {"$in": ["pdf", "markdown"]}, "filename": "ban", "source": {"$ne": "archive"}}
-    return read_table(s, d, "documents").filter(filters.predicate(spec, F.col)).select("doc_id")
+    docs = read_table(s, d, "documents")
+    return docs.filter(filters.predicate(spec, F.col, dict(docs.dtypes))).select("doc_id")
 
 
 @query("json_metadata_filter", "SELECT DISTINCT chunk_id FROM chunks WHERE CAST(json_extract_string(metadata, '$.page_number') AS DOUBLE) > 2 AND regexp_matches(json_extract_string(metadata, '$.title'), '(?i)report|review') AND json_extract_string(metadata, '$.language') = 'en'")
@@ -412,21 +386,11 @@ def _(s, d):
     return read_table(s, d, "eval_items").select("item_id", understanding.route(F.col("text")).alias("route"))
 
 
-@query("negation_detect")
-def _(s, d):
-    return read_table(s, d, "eval_items").select("item_id", understanding.negation(F.col("text")).alias("n")).select("item_id", "n.kind", F.array_join("n.terms", " ").alias("terms"), "n.confidence")
-
-
 @query("extractive_summary")
 def _(s, d):
     return read_table(s, d, "documents").filter("text is not null").select("doc_id", understanding.extractive_summary(F.col("text"), F.col("filename")).alias("summary"))
 
 
-@query("implied_filters")
-def _(s, d):
-    return read_table(s, d, "eval_items").select("item_id", filters.implied(F.col("text")).alias("f")).select("item_id", "f.*")
-
-
 SQL["adaptive_alpha"] = r"""WITH q AS (SELECT item_id, text, lower(text) AS low, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n,
       len(list_filter(regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'), lambda x: lower(x) NOT IN ('what', 'why', 'how', 'which', 'when', 'where', 'who'))) AS names FROM eval_items),
     a AS (SELECT item_id, 0.7 + CASE WHEN n > 12 THEN 0.10 WHEN n > 8 THEN 0.05 WHEN n <= 3 THEN -0.10 ELSE 0 END
@@ -447,10 +411,6 @@ SQL["rule_router"] = r"""WITH q AS (SELECT item_id, text, lower(text) AS low, li
       WHEN (n <= 3 AND NOT asks) OR (n BETWEEN 2 AND 5 AND NOT asks AND NOT list_has_any(w, ['is', 'are', 'was', 'were', 'do', 'does', 'did', 'can', 'will', 'should'])) THEN 'vague_or_sparse'
       WHEN (n > 10 AND asks) OR list_has_any(w, ['how', 'why']) THEN 'factual_complex' ELSE 'factual_simple' END AS route FROM f"""
 
-SQL["implied_filters"] = r"""SELECT item_id, CAST(nullif(regexp_extract(text, '\b((?:19|20)\d{2})\b', 1), '') AS INT) AS date_year, CAST(nullif(regexp_extract(lower(text), '\bq([1-4])\b', 1), '') AS INT) AS quarter,
-      CASE WHEN regexp_matches(lower(text), '\breport\b') THEN 'report' WHEN regexp_matches(lower(text), '\bmanual\b') THEN 'manual' WHEN regexp_matches(lower(text), '\binvoice\b') THEN 'invoice' WHEN regexp_matches(lower(text), '\bcontract\b') THEN 'contract'
-        WHEN regexp_matches(lower(text), '\bpolicy\b') THEN 'policy' WHEN regexp_matches(lower(text), '\bpresentation\b') THEN 'presentation' END AS doc_type,
-      nullif(regexp_extract(lower(text), 'in the (\w+) section', 1), '') AS section, regexp_matches(lower(text), '\btables?\b') AS is_table FROM eval_items"""
 
 SQL["sentence_extraction"] = rf"""WITH {CHUNK}, s AS (SELECT filename AS query_id, chunk_id, string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM c),
     e AS (SELECT query_id, chunk_id, unnest(range(0, len(l))) AS pos, unnest(l) AS sentence FROM s),
@@ -459,14 +419,7 @@ SQL["sentence_extraction"] = rf"""WITH {CHUNK}, s AS (SELECT filename AS query_i
     SELECT query_id, chunk_id, pos, sentence, overlap, rank FROM r WHERE rank <= 5"""
 
 
-SQL["extractive_summary"] = """SELECT doc_id, substring(concat_ws(': ', filename, array_to_string(list_filter(string_split(text, '. '), lambda s: trim(s, ' ') <> '')[1:3], '. ')), 1, 500) AS summary FROM documents WHERE text IS NOT NULL"""
 
-SQL["corrective_merge"] = SQL["confidence_grade"].replace("SELECT query_id, confidence, CASE", "g2 AS (SELECT query_id, CASE", 1).rsplit("FROM c", 1)[0].replace("FROM g)\n", "FROM g),\n") + """FROM c),
-    u AS (SELECT query_id, chunk_id, score FROM a WHERE rank <= 10 UNION ALL SELECT query_id, chunk_id, score FROM b WHERE rank <= 10),
-    m AS (SELECT query_id, chunk_id, max(score) AS score FROM u JOIN g2 USING (query_id) WHERE level IN ('low', 'very_low') GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM m),
-    o AS (SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10 UNION ALL SELECT query_id, chunk_id, score, rank FROM a JOIN g2 USING (query_id) WHERE rank <= 10 AND level NOT IN ('low', 'very_low'))
-    SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM o"""
 
 
 # Graph.
@@ -528,10 +481,18 @@ def _(s, d):
     return telemetry.recent(read_table(s, d, "events"), "user_id", "ts", "event_id", 4).select("user_id", "event_id", "back")
 
 
-@query("low_confidence_join", "SELECT o.o_orderkey, c.c_name, round(o.o_totalprice, 2) AS o_totalprice FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal < 0")
+@query(
+    "low_confidence_join",
+    """WITH q AS (SELECT event_id AS query_id, user_id AS query_hash FROM events WHERE event_type = (SELECT min(event_type) FROM events)), r AS (SELECT event_id AS retrieval_id, user_id AS query_hash, value AS confidence FROM events WHERE event_type = (SELECT max(event_type) FROM events))
+    SELECT query_hash, query_id, retrieval_id, round(confidence, 6) AS confidence FROM q JOIN r USING (query_hash) WHERE confidence < 5 ORDER BY confidence, query_hash, query_id, retrieval_id LIMIT 50""",
+)
 def _(s, d):
-    o, c = read_table(s, d, "orders"), read_table(s, d, "customer").filter("c_acctbal < 0")
-    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_name", F.round("o_totalprice", 2).alias("o_totalprice"))
+    """Events of the first kind stand for queries, those of the last for retrievals; users for hashes."""
+    e = read_table(s, d, "events")
+    kinds = e.agg(F.min("event_type"), F.max("event_type")).first()
+    q = e.filter(F.col("event_type") == kinds[0]).select(F.col("event_id").alias("query_id"), F.col("user_id").alias("query_hash"))
+    r = e.filter(F.col("event_type") == kinds[1]).select(F.col("event_id").alias("retrieval_id"), F.col("user_id").alias("query_hash"), F.col("value").alias("confidence"))
+    return telemetry.low_confidence(q, r, 5, 50).select("query_hash", "query_id", "retrieval_id", F.round("confidence", 6).alias("confidence"))
 
 
 @query("doc_type_distribution", "SELECT doc_type, count(*) AS n, count(DISTINCT collection_id) AS collections FROM documents WHERE doc_type IS NOT NULL GROUP BY 1")
@@ -554,19 +515,8 @@ SQL["event_sessions"] = """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PAR
     SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS "end", count(*) AS n FROM n GROUP BY user_id, k"""
 
 
-@query("semantic_cache_lookup", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, c.vec_id AS cache_id, list_cosine_similarity(q.e, c.e) AS s FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id % 100 <> 0),
-    b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, cache_id) AS n FROM p) SELECT query_id, cache_id, round(s, 4) AS cosine FROM b WHERE n = 1 AND s >= 0.5""")
-def _(s, d):
-    v = vectors(s, d)
-    q = v.filter(F.pmod("chunk_id", F.lit(100)) == 0).select(F.col("chunk_id").alias("query_id"), "embedding")
-    cache = v.filter(F.pmod("chunk_id", F.lit(100)) != 0).select(F.col("chunk_id").alias("cache_id"), "embedding")
-    return rounded(telemetry.semantic_cache(q, cache, 0.5), "cosine")
-
-
-@query("conversation_last4", "SELECT user_id, string_agg(event_type, ' ' ORDER BY back) AS turns FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events) WHERE back <= 4 GROUP BY 1")
+@query("last_events_per_user", "SELECT user_id, string_agg(event_type, ' ' ORDER BY back) AS turns FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events) WHERE back <= 4 GROUP BY 1")
 def _(s, d):
     r = telemetry.recent(read_table(s, d, "events"), "user_id", "ts", "event_id", 4)
     return r.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("back", "event_type"))), lambda x: x["event_type"]), " ").alias("turns"))
 
-
-del W

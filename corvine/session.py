@@ -9,6 +9,10 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: A union whose parts are partitioned alike is taken for partitioned as well, even where
+#: adaptive execution has joined partitions of the parts in different ways: a grouping
+#: after it then gives several rows a key. Off, such groupings shuffle.
+SAFE = {"spark.sql.unionOutputPartitioning": "false"}
 
 
 def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -20,6 +24,7 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        **SAFE,
         **conf,
     }.items():
         builder = builder.config(k, v)
@@ -28,7 +33,10 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
 
 def ship(spark: SparkSession, root: Path) -> None:
     """Send the package below ``root`` to the executors, once per application,
-    so that Python workers find it wherever they were started."""
+    so that Python workers find it wherever they were started, and set what the
+    operators rely on."""
+    for k, v in SAFE.items():
+        spark.conf.set(k, v)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

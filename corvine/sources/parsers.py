@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -70,38 +71,65 @@ def table_text(raw: str, delimiter: str = ",") -> str:
     return "\n".join([line(rows[0]), "|" + "---|" * len(rows[0]), *map(line, rows[1:])])
 
 
-def parse(raw: bytes | None, extension: str) -> str | None:
-    """Text of a file's bytes, or None where the kind is unknown or unreadable."""
+class UnknownKind(ValueError):
+    """No parser for a file's extension."""
+
+
+def parse(raw: bytes | None, extension: str) -> tuple[str | None, dict[str, str]]:
+    """Text and metadata of a file's bytes. Raises ``UnknownKind`` for an extension
+    without a parser and ``ValueError`` for an empty Markdown file."""
     if raw is None:
-        return None
+        return None, {}
     if extension in PARSERS:
-        return PARSERS[extension](raw)
+        text = PARSERS[extension](raw)
+        return text, {"char_count": str(len(text))}
     text = raw.decode("utf-8", errors="replace")
-    if extension in ("md", "markdown", "txt"):
-        return text
+    if extension in ("md", "markdown"):
+        if not text.strip():
+            raise ValueError("empty file")
+        heads = re.findall(r"^(#{1,6})[ \t]+(.+?)[ \t]*$", text, re.M)
+        title = next((h for n, h in heads if len(n) <= 2), None)
+        return text, {"char_count": str(len(text)), "headings": str(len(heads))} | ({"title": title} if title else {})
+    if extension == "txt":
+        return text, {"char_count": str(len(text))}
     if extension in ("csv", "tsv"):
-        return table_text(text, "\t" if extension == "tsv" else ",")
+        sign = "\t" if extension == "tsv" else ","
+        rows = list(csv.reader(io.StringIO(text), delimiter=sign))
+        return table_text(text, sign), {"rows": str(max(0, len(rows) - 1)), "columns": ", ".join(rows[0]) if rows else ""}
     if extension in ("html", "htm"):
-        return html_text(text)
-    return None
+        page = html_text(text)
+        return page, {"char_count": str(len(page))} | ({"title": page.split("\n")[0][2:]} if page.startswith("# ") else {})
+    raise UnknownKind(f"no parser for .{extension}")
 
 
-def parse_frame(files: DataFrame) -> DataFrame:
-    """``(filename, extension, text)`` of ``(filename, content BINARY)``; files of
-    unknown kinds have null text."""
+def parse_frame(files: DataFrame, failing: str = "error") -> DataFrame:
+    """``(filename, extension, text, metadata, error)`` of ``(filename, content
+    BINARY)``. A file that can't be read has null text and says why in ``error``;
+    with ``failing='raise'`` it ends the job, with ``'skip'`` it has no row."""
+    parsers = dict(PARSERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        PARSERS.update(parsers)
         for b in batches:
-            ext = [str(f).rsplit(".", 1)[-1].lower() if f and "." in str(f) else "" for f in b["filename"]]
-            yield pd.DataFrame({"filename": b["filename"], "extension": ext, "text": [parse(c, e) for c, e in zip(b["content"], ext)]})
+            rows = []
+            for f, c in zip(b["filename"], b["content"]):
+                ext = str(f).rsplit(".", 1)[-1].lower() if f and "." in str(f) else ""
+                try:
+                    rows.append((f, ext, *parse(c, ext), None))
+                except Exception as e:
+                    if failing == "raise":
+                        raise
+                    if failing == "error":
+                        rows.append((f, ext, None, {}, str(e)))
+            yield pd.DataFrame(rows, columns=["filename", "extension", "text", "metadata", "error"])
 
-    return files.select("filename", "content").mapInPandas(run, "filename string, extension string, text string")
+    return files.select("filename", "content").mapInPandas(run, "filename string, extension string, text string, metadata map<string,string>, error string")
 
 
 def read_directory(spark: SparkSession, path: str, recursive: bool = True, pattern: str = "*") -> DataFrame:
     """Every file below a folder, parsed; unreadable files are skipped."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).option("ignoreCorruptFiles", "true").load(path)
-    return parse_frame(f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "content"))
+    return parse_frame(f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "content"), "skip")
 
 
 def read_buffer(spark: SparkSession, files: list[tuple[str, bytes]]) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 
 from corvine.operators import chunking, filters, graph, ingest
 from corvine.sources import parsers
-from corvine.sources.store import ChunkStore, IntegrityError
+from corvine.sources.store import ChunkStore, IntegrityError, open_store
 from pyspark.sql import functions as F
 
 
@@ -46,14 +46,21 @@ def test_filters(spark):
     df = spark.createDataFrame([("A.pdf", "12", None), ("b.md", "x", "Report")], "filename string, n string, t string")
     ids = lambda spec: [r.filename for r in df.filter(filters.predicate(spec, F.col)).collect()]
     assert ids({"filename": "a.p"}) == ["A.pdf"] and ids({"n": {"$gt": 3}}) == ["A.pdf"] and ids({"t": {"$regex": "REP"}}) == ["b.md"]
-    assert ids({"t": {"$ne": "x"}}) == ["b.md"] and ids({"t": {"$odd": 1}}) == [] and ids({"n": {"$in": "12"}}) == []
+    assert ids({"t": {"$ne": "x"}}) == ["b.md"] and ids({"t": {"$odd": 1}}) == [] and ids({"t": {"$contains": "por"}}) == ["b.md"] and ids({"n": {"$range": [10, 13]}}) == ["A.pdf"] and ids({"n": {"$in": "12"}}) == []
 
 
-def test_parsers(spark):
+def test_parsers(spark, tmp_path):
     assert parsers.html_text("<title>T</title><h2>H &amp; I</h2><script>x</script><p>a</p><li>b") == "# T\n\n## H & I\n\na\n\n- b"
     assert parsers.table_text("a,b\n1,2") == "| a | b |\n|---|---|\n| 1 | 2 |"
-    got = {r.filename: r.text for r in parsers.read_buffer(spark, [("x.md", b"# T"), ("y.bin", b"\x00"), ("z", b"")]).collect()}
-    assert got == {"x.md": "# T", "y.bin": None, "z": None}
+    rows = {r.filename: r for r in parsers.read_buffer(spark, [("x.md", b"# T\n## U"), ("y.bin", b"\x00"), ("e.md", b" "), ("t.tsv", b"a\tb\n1\t2")]).collect()}
+    assert rows["x.md"].text == "# T\n## U" and rows["x.md"].metadata["title"] == "T" and rows["x.md"].metadata["headings"] == "2"
+    assert rows["y.bin"].text is None and "bin" in rows["y.bin"].error and rows["e.md"].error and rows["t.tsv"].metadata == {"rows": "1", "columns": "a, b"}
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "sub" / "b.html").write_text("<title>T</title><p>x</p>")
+    (tmp_path / "c.bin").write_bytes(b"?")
+    assert {r.filename: r.text for r in parsers.read_directory(spark, str(tmp_path)).collect()} == {"a.txt": "one", "b.html": "# T\n\nx"}
+    assert {r.filename for r in parsers.read_directory(spark, str(tmp_path), recursive=False, pattern="*.txt").collect()} == {"a.txt"}
 
 
 def test_store(spark, tmp_path):
@@ -66,6 +73,19 @@ def test_store(spark, tmp_path):
     with pytest.raises(IntegrityError):
         s.add(spark.createDataFrame([row(9, [1.0])], schema))
     assert s.read().count() == 2
+    before = s.read()
+    s.add(spark.createDataFrame([row(1, [0.0, 2.0]), ("c0", "k", "f.md", 7, "new", None, [1.0, 0.0])], schema))
+    assert before.count() == 2 and {r.chunk_id: r.chunk_index for r in s.read().collect()} == {"c0": 7, "c1": 1, "c2": 2}
+    s.compact()
+    assert len(s._segments()) == 1 and s.read().count() == 3
+    q = spark.createDataFrame([("q", [0.0, 1.0])], "query_id string, embedding array<float>")
+    assert [r.chunk_id for r in s.search(q, 2, F.col("chunk_id") != "c1").orderBy("rank").collect()] == ["c2", "c0"]
+    s.delete_file("f.md", "other")
+    assert s.read().count() == 3 and s.stats().first().chunks == 3
+    s.delete_file("f.md")
+    assert s.read().count() == 0
+    with pytest.raises(ValueError):
+        open_store("none", spark, "x", 2)
 
 
 def test_graph(spark):
