@@ -56,6 +56,10 @@ def language_family(language: Column) -> Column:
     return F.coalesce(*[F.when(language.isin(*xs), F.lit(f)) for f, xs in FAMILIES.items()], F.lit("other"))
 
 
+def _without(words: Column, some: list[str]) -> Column:
+    return F.filter(words, lambda w: ~w.isin(*some))
+
+
 def detect_language(text: Column) -> Column:
     """Struct of ``language`` and ``confidence``: the script, or for Latin letters
     the language with most telling words. Blank texts are English with 0, texts
@@ -63,7 +67,7 @@ def detect_language(text: Column) -> Column:
     share = lambda p: F.regexp_count(text, F.lit(p)) / F.greatest(F.length(F.regexp_replace(text, r"\s", "")), F.lit(1))
     scripts = [("ja", r"[\x{3040}-\x{30ff}]", 0.1), ("zh", r"[\x{4e00}-\x{9fff}]", 0.3), ("ko", r"[\x{ac00}-\x{d7af}]", 0.3), ("th", r"[\x{0e00}-\x{0e7f}]", 0.3), ("ru", r"[\x{0400}-\x{04ff}]", 0.3), ("hi", r"[\x{0900}-\x{097f}]", 0.3), ("ar", r"[\x{0600}-\x{06ff}]", 0.3)]
     words = whitespace_tokens(text)
-    votes = [(x, F.size(F.filter(words, lambda w, ws=ws: w.isin(*ws)))) for x, ws in TELLING.items()]
+    votes = [(x, F.size(words) - F.size(_without(words, ws))) for x, ws in TELLING.items()]
     best = F.greatest(*(n for _, n in votes))
     latin = F.coalesce(*[F.when((n == best) & (best > 0), F.lit(x)) for x, n in votes], F.lit("en"))
     sure = F.when(best > 0, F.least(F.lit(1.0), 0.5 + best / F.greatest(F.size(words), F.lit(1)))).otherwise(0.5)
@@ -78,7 +82,7 @@ def language_tokens(text: Column, language: Column, stop: dict[str, list[str]] |
     words = word_tokens(text)
     for x, ws in (stop or {}).items():
         if ws:
-            words = F.when(language == x, F.filter(words, lambda w, ws=ws: ~w.isin(*ws))).otherwise(words)
+            words = F.when(language == x, _without(words, ws)).otherwise(words)
     pairs = F.flatten(F.transform(words, char_bigrams))
     return F.coalesce(F.when(is_unspaced(language), pairs).otherwise(words), F.array().cast("array<string>"))
 

@@ -67,7 +67,11 @@ def domain_names(chunks: DataFrame, domain: str, patterns: list[tuple[str, str,
     for k, v in (words or {}).items():
         lists[k] = [*lists.get(k, []), *v]
     text = F.col("text")
-    hits = [F.transform(F.regexp_extract_all(text, F.lit(f"(?i)({p})"), 1), lambda m, i, k=k, kind=kind: F.struct(F.lit(k).alias("rule"), i.cast("int").alias("at"), m.alias("mention"), F.lit(kind).alias("kind"))) for k, (p, kind, _) in enumerate(rules)]
+
+    def matches(k: int, pattern: str, kind: str):
+        return F.transform(F.regexp_extract_all(text, F.lit(f"(?i)({pattern})"), 1), lambda m, i: F.struct(F.lit(k).alias("rule"), i.cast("int").alias("at"), m.alias("mention"), F.lit(kind).alias("kind")))
+
+    hits = [matches(k, p, kind) for k, (p, kind, _) in enumerate(rules)]
     flat = [(w, kind) for kind, ws in lists.items() for w in dict.fromkeys(ws)]
     hits += [F.array(*[F.when(F.contains(F.lower(text), F.lit(w.lower())), F.struct(F.lit(len(rules)).alias("rule"), F.lit(k).alias("at"), F.lit(w).alias("mention"), F.lit(kind).alias("kind"))) for k, (w, kind) in enumerate(flat)])] if flat else []
     if not hits:

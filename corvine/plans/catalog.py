@@ -267,7 +267,7 @@ def _(s, d):
     first = c.filter("chunk_index = 0").select("collection_id", "filename").groupBy("collection_id").agg(F.min("filename").alias("filename"))
     pinned = c.join(first, ["collection_id", "filename"]).select(F.col("collection_id").alias("query_id"), "chunk_id", "filename", F.lit(0).alias("file_order"), "chunk_index", F.col("content").alias("text"))
     own = ranked.top_k(c.select(F.col("collection_id").alias("query_id"), "chunk_id", "filename", (F.length("content") / 100000.0).alias("score")), 10)
-    return rounded(context.inject_pinned(own, pinned), "score")
+    return rounded(context.inject_pinned(own, pinned), "score", places=5)
 
 
 @query("semantic_chunks")
