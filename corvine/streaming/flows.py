@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.operators.chunking import chunk_documents
+from corvine.storage import bounded, discard, materialize
+
+#: Folders of the registry of a batch, by file name.
+REGISTRY_PARTS = 16
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str | None = None) -> DataFrame:
@@ -40,14 +44,19 @@ def ingest_stream(spark: SparkSession, source: str, sink: str, checkpoint: str):
 
     def batch(df: DataFrame, n: int) -> None:
         s = df.sparkSession
-        fresh = df.withColumn("hash", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["filename", "hash"])
+        bucket = F.pmod(F.xxhash64("filename"), F.lit(REGISTRY_PARTS)).cast("int")
+        fresh = materialize(df.withColumn("hash", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["filename", "hash"]).withColumn("part", bucket), "fresh")
+        done = fresh
+        parts = [r[0] for r in fresh.select("part").distinct().collect()]  # at most REGISTRY_PARTS numbers
         try:
-            known = s.read.parquet(f"{sink}/registry").filter(F.col("batch") < n).select("filename", "hash")
-            fresh = fresh.join(known, ["filename", "hash"], "left_anti")
+            # Only the registry's folders of these files are read, and it is not shuffled.
+            known = s.read.parquet(f"{sink}/registry").filter((F.col("batch") < n) & F.col("part").isin(parts)).select("filename", "hash")
+            fresh = fresh.join(known.join(bounded(fresh.select("filename", "hash")), ["filename", "hash"], "left_semi"), ["filename", "hash"], "left_anti")
         except Exception as e:  # no registry yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         chunk_documents(fresh).write.mode("overwrite").parquet(f"{sink}/chunks/batch={n}")
-        fresh.select("filename", "hash").write.mode("overwrite").parquet(f"{sink}/registry/batch={n}")
+        fresh.select("filename", "hash", "part").write.mode("overwrite").partitionBy("part").parquet(f"{sink}/registry/batch={n}")
+        discard(done)
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
