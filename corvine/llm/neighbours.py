@@ -20,12 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corvine.llm.common import materialize, read_table, spread
+from corvine.llm.common import bounded, materialize, read_table, spread
 
 #: Bits of the sketch that goes with each posting.
 SKETCH = 63
-#: Classes up to which their ids are broadcast to filter the vectors (8 bytes each).
-BROADCAST_CLASSES = 500_000
 
 
 def probing_order(hashes: int, probes: int) -> list[tuple[int, ...]]:
@@ -101,7 +99,7 @@ def usable(embedding: str, dim: int):
 
 
 def nearest(
-    df: DataFrame, key: str, embedding: str, k: int = 10, floor: float = -1.0, dim: int = 64,
+    df: DataFrame, key: str, embedding: str, k: int, floor: float, dim: int = 64,
     tables: int = 3, hashes: int = 16, width: float = 2.0, probes: int = 8, queries: DataFrame | None = None, seed: int = 7,
 ) -> DataFrame:
     """``(item, neighbour, cosine, rank)``: for each usable vector up to ``k``
@@ -134,9 +132,7 @@ def nearest(
     one = materialize(unique.groupBy("item").agg(F.min("cls").alias("cls")), "items")
     wanted = one.join(queries.select(F.col(f"`{key}`").alias("item")).distinct(), "item", "left_semi") if queries is not None else one
     # Of rows with equal vectors one works for all.
-    again = materialize(unique.groupBy("cls").count().filter("count > 1").select("cls"), "copies")
-    if again.count() <= BROADCAST_CLASSES:
-        again = F.broadcast(again)
+    again = bounded(materialize(unique.groupBy("cls").count().filter("count > 1").select("cls"), "copies"))
     single = unique.join(again, "cls", "left_anti").select("cls", "e")
     copied = unique.join(again, "cls", "left_semi")
     reps = single.unionByName(copied.groupBy("cls").agg(F.first("e").alias("e")))
@@ -163,8 +159,7 @@ def nearest(
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     pairs = materialize(pairs.distinct(), "pairs")
     paired = materialize(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "paired")
-    few_paired = F.broadcast(paired) if paired.count() <= BROADCAST_CLASSES else paired
-    ends = reps.join(few_paired, "cls", "left_semi")
+    ends = reps.join(bounded(paired), "cls", "left_semi")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

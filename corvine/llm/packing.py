@@ -10,12 +10,14 @@ many groups lose against one is at most a container each.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,12 +70,14 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def count_tokens(df: DataFrame, key: str, text: str, ranks: str = RANKS) -> DataFrame:
-    """``(item, n_tokens)``; null texts have no tokens."""
+    """``(item, n_tokens)``; null texts have no tokens. The ranks file is sent to
+    the executors from where the driver has it."""
+    df.sparkSession.sparkContext.addFile(ranks)
     d = df.select(F.col(f"`{key}`").alias("item"), F.col(f"`{text}`").alias("body"))
     kind = dict(d.dtypes)["item"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(ranks).encode_ordinary
+        encode = encoding(SparkFiles.get(os.path.basename(ranks))).encode_ordinary
         for b in cut_batches(batches, "body"):
             yield pa.RecordBatch.from_arrays([b.column("item"), pa.array([len(encode(x)) if x else 0 for x in b.column("body").to_pylist()], pa.int64())], names=["item", "n_tokens"])
 

@@ -373,7 +373,7 @@ def test_neighbours_recall(spark):
     s = u @ u.T - 9 * np.eye(len(u))
     want = {(rows[i][0], rows[j][0]) for i in range(len(u)) for j in np.argsort(-s[i], kind="stable")[:10] if s[i, j] >= 0.95}
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.01 * len(want)
-    assert neighbours.nearest(df.limit(0), "id", "e").count() == 0
+    assert neighbours.nearest(df.limit(0), "id", "e", 10, 0.95).count() == 0
 
 
 def test_probing_order_is_by_score():
