@@ -11,7 +11,6 @@ history's entries are never read again.
 from __future__ import annotations
 
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,27 +87,29 @@ class BatchIndex:
         return index
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        return reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{g}") for g in self.done])
+        """All completed generations of a table, as one scan."""
+        there = self.spark.read.schema(f"{schema}, gen string").parquet(f"{self.path}/{name}")
+        return there.filter(F.col("gen").isin(self.done)).drop("gen")
 
     def _part(self) -> Column:
         return F.pmod(F.xxhash64("coll", "tok"), F.lit(self.parts)).cast("int")
 
-    def _write(self, df: DataFrame, name: str, generation: str) -> None:
-        to = f"{self.path}/{name}/{generation}"
+    def _write(self, df: DataFrame, name: str, generation: str, small: bool) -> None:
+        to = f"{self.path}/{name}/gen={generation}"
         if "tok" not in df.columns:
             return df.write.mode("overwrite").parquet(to)
         df = df.withColumn("part", self._part())
-        return df.repartition("part").sortWithinPartitions("part", "tok").write.mode("overwrite").partitionBy("part").parquet(to)
+        return (df if small else df.repartition("part")).sortWithinPartitions("part", "tok").write.mode("overwrite").partitionBy("part").parquet(to)
 
     def build(self, history: DataFrame) -> None:
         """Accept every entry of ``history`` without a check."""
         sets = materialize(history.filter("sid is not null").groupBy("coll", "sid").agg(F.first("toks").alias("toks"), F.min("at").alias("acc")), "sets")
         tokens = sets.select("coll", F.explode("toks").alias("tok")).groupBy("coll", "tok").count().filter("count > 1").withColumnRenamed("count", "df")
-        self._write(tokens, "common", "all")
+        self._write(tokens, "common", "all", False)
         self._append(history, self._ordered(sets, self._common()))
 
     def _common(self) -> DataFrame:
-        return self.spark.read.schema("coll string, tok bigint, df bigint, part int").parquet(f"{self.path}/common/all")
+        return self.spark.read.schema("coll string, tok bigint, df bigint, part int").parquet(f"{self.path}/common/gen=all")
 
     def _folders(self, table: DataFrame, found: list[int]) -> DataFrame:
         """The table's folders of some numbers."""
@@ -128,23 +129,19 @@ class BatchIndex:
         prefix = n - F.ceil(n * self.share).cast("int") + 1
         return sets.select("coll", "sid", n.alias("n"), F.posexplode(F.slice("toks", 1, prefix)).alias("pos", "tok"))
 
-    def _append(self, accepted: DataFrame, sets: DataFrame, *others) -> list:
-        """Write a generation and mark it as done; ``others`` run beside it."""
+    def _append(self, accepted: DataFrame, sets: DataFrame, small: bool = False) -> None:
+        """Write a generation and mark it as done."""
         generation = f"{len(self.done):06}_{self.share}_{self.parts}"
         files = accepted.filter("fh is not null").groupBy("coll", "fh").agg(F.min("at").alias("acc"))
-        tables = [(files, "files"), (sets, "sets"), (self._posts(sets), "posts")]
-        with ThreadPoolExecutor(4) as pool:
-            more = [pool.submit(x) for x in others]
-            list(pool.map(lambda t: self._write(*t, generation), tables))
-            results = [x.result() for x in more]
+        for table, name in ((files, "files"), (sets, "sets"), (self._posts(sets), "posts")):
+            self._write(table, name, generation, small)
         p, fs = _hadoop(self.spark, f"{self.path}/done/{generation}")
         fs.create(p, True).close()
         self.done.append(generation)
-        return results
 
     def _near(self, mine: DataFrame, mine_posts: DataFrame, theirs: DataFrame, their_posts: DataFrame) -> DataFrame:
-        """``(coll, sid, other, acc, share)`` of sets alike, ``acc`` from theirs.
-        Only ``mine`` and what it meets moves."""
+        """``(coll, sid, own, other, acc, share)`` of sets alike, ``own`` and ``acc``
+        from theirs. Only ``mine`` and what it meets moves."""
         a, b = mine_posts.alias("a"), their_posts.alias("b")
         need = F.ceil(self.share / (1 + self.share) * (F.col("a.n") + F.col("b.n")) - 1e-9)
         rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
@@ -154,64 +151,66 @@ class BatchIndex:
         ahead = (F.col("a.pos") < F.col("a.n") - 1) & (F.col("b.pos") < F.col("b.n") - 1) & (F.col("b.n") >= F.col("a.n") * self.share) & (F.col("b.n") * self.share <= F.col("a.n")) & (rest >= need)
         tiny = int((1 + self.share) / self.share + 1e-9)
         single = ((F.col("a.n") == 1) & (F.col("b.n") <= tiny - 1)) | ((F.col("b.n") == 1) & (F.col("a.n") <= tiny - 1))
-        pair = materialize(b.join(a, same & (ahead | single)).select("a.coll", "a.sid", F.col("b.sid").alias("other")).distinct(), "pairs")
-        p = theirs.select("coll", F.col("sid").alias("other"), "acc", F.col("toks").alias("y")).join(bounded(pair), ["coll", "other"])
+        pair = materialize(b.join(a, same & (ahead | single)).select("a.coll", "a.sid", "b.own", F.col("b.sid").alias("other")).distinct(), "pairs")
+        p = theirs.select("coll", F.col("sid").alias("other"), "own", "acc", F.col("toks").alias("y")).join(bounded(pair), ["coll", "other", "own"])
         p = p.join(mine.select("coll", "sid", F.col("toks").alias("x")), ["coll", "sid"])
         both = F.size(F.array_intersect("x", "y"))
         p = p.withColumn("share", both / (F.size("x") + F.size("y") - both))
-        return p.filter(F.col("share") >= self.share).select("coll", "sid", "other", "acc", "share")
+        return p.filter(F.col("share") >= self.share).select("coll", "sid", "own", "other", "acc", "share")
 
     def step(self, batch: DataFrame) -> DataFrame:
         """``(match_id, entry_id, how)`` of the batch's cases; the rest is accepted."""
         files, sets = self._table("files", f"coll string, fh string, {_ACC}"), self._table("sets", f"coll string, sid bigint, {_ACC}, toks array<bigint>")
         posts = self._table("posts", "coll string, sid bigint, n int, pos int, tok bigint, part int")
-        own_sets = batch.filter("sid is not null").groupBy("coll", "sid").agg(F.first("toks").alias("toks"), F.min("at").alias("acc"))
         # All that the step joins with the history is made of the batch, and no larger than its tokens and hashes.
         part_bit = f"shiftleft(1L, cast(pmod(xxhash64(coll, t), {self.parts}) as int))"
         size, bits = batch.agg(F.coalesce(F.sum(F.lit(120) + F.coalesce(F.size("toks"), F.lit(0)) * 60), F.lit(0)), F.expr(f"coalesce(bit_or(aggregate(toks, 0L, (s, t) -> s | {part_bit})), 0L)")).first()
         found = [k for k in range(self.parts) if bits >> k & 1]
-        few = F.broadcast if size <= BROADCAST_BYTES else lambda df: df
+        small = size <= BROADCAST_BYTES
+        few = F.broadcast if small else lambda df: df
+        # What is made of a small batch alone is worked on in one task, without a shuffle.
+        one = (lambda df: df.coalesce(1)) if small else (lambda df: df)
+        batch = one(batch)
+        own_sets = batch.filter("sid is not null").groupBy("coll", "sid").agg(F.first("toks").alias("toks"), F.min("at").alias("acc"))
         own_toks = own_sets.select("coll", F.explode("toks").alias("tok")).distinct()
         common = self._folders(self._common(), found).join(few(own_toks), ["coll", "tok"], "left_semi")
-        mine = materialize(self._ordered(own_sets, few(common)), "mine")
+        mine = one(materialize(self._ordered(own_sets, few(common)), "mine"))
         mine_posts = self._posts(mine)
 
-        def best_old() -> DataFrame:
-            best = self._near(few(mine), few(mine_posts), sets, self._folders(posts, found)).groupBy("coll", "sid").agg(F.min(F.struct((-F.col("share")).alias("s"), "acc")).alias("x"))
-            return materialize(best.select("coll", "sid", (-F.col("x.s")).alias("share"), "x.acc"), "old")
-
-        def links_of_the_batch() -> DataFrame:
-            own = mine.select("coll", "sid", F.col("sid").alias("other"), F.lit(1.0).alias("share"))
-            return materialize(self._near(few(mine), few(mine_posts), mine, mine_posts).select("coll", "sid", "other", "share").union(own).distinct(), "links")
-
-        def old_files() -> DataFrame:
-            hashes = few(batch.filter("fh is not null").select("coll", "fh").distinct())
-            return materialize(files.join(hashes, ["coll", "fh"], "left_semi").groupBy("coll", "fh").agg(F.min("acc").alias("acc")), "hits")
-
-        with ThreadPoolExecutor(3) as pool:
-            old, links, known = (x.result() for x in [pool.submit(f) for f in (best_old, links_of_the_batch, old_files)])
+        hashes = few(batch.filter("fh is not null").select("coll", "fh").distinct())
+        known = one(materialize(files.join(hashes, ["coll", "fh"], "left_semi").groupBy("coll", "fh").agg(F.min("acc").alias("acc")), "hits"))
+        # The batch's sets against the history and against each other: of the former only the best is kept.
+        cols = ["coll", "sid", "n", "pos", "tok", "own"]
+        posted = self._folders(posts, found).withColumn("own", F.lit(False)).select(*cols).unionByName(mine_posts.withColumn("own", F.lit(True)).select(*cols))
+        every = sets.withColumn("own", F.lit(False)).unionByName(mine.withColumn("own", F.lit(True)))
+        near = self._near(few(mine), few(mine_posts), every, posted)
+        near = one(materialize(near.groupBy("coll", "sid", "own", F.when(F.col("own"), F.col("other")).alias("other")).agg(F.min(F.struct((-F.col("share")).alias("s"), "acc")).alias("x")).select("coll", "sid", "own", "other", (-F.col("x.s")).alias("share"), "x.acc"), "near"))
+        old = near.filter("not own").select("coll", "sid", "share", "acc")
+        links = one(near.filter("own and sid <> other").select("coll", "sid", "other", "share").union(mine.select("coll", "sid", F.col("sid").alias("other"), F.lit(1.0).alias("share"))))
         # Entries alike in file and chunks stand or fall with the first of them.
         rep = batch.groupBy("coll", F.coalesce("fh", F.concat(F.lit("-"), F.col("entry_id").cast("string"))).alias("f"), "sid").agg(F.min("at").alias("at"), F.first("fh").alias("fh"))
         gone = rep.join(known.select("coll", "fh", F.lit(1).alias("e")), ["coll", "fh"], "left").join(old.select("coll", "sid", F.lit(1).alias("o")), ["coll", "sid"], "left")
         state = gone.select("coll", "f", "sid", "fh", "at", F.when(F.col("e").isNotNull() | F.col("o").isNotNull(), F.lit("case")).otherwise(F.lit("open")).alias("s"))
         while True:
-            state = materialize(self._round(state, links), "state")
+            state = one(materialize(self._round(state, links), "state"))
             if state.filter("s = 'open'").isEmpty():
                 break
         taken = state.filter("s = 'accepted'").select(F.col("at.entry_id").alias("entry_id"))
         accepted = batch.join(taken, "entry_id", "left_semi")
         cases = batch.join(taken, "entry_id", "left_anti")
         own_files = accepted.filter("fh is not null").select("coll", "fh", F.col("at").alias("acc"))
-        all_files = known.unionByName(own_files).groupBy("coll", "fh").agg(F.min("acc").alias("file_match"))
+        all_files = one(known.unionByName(own_files)).groupBy("coll", "fh").agg(F.min("acc").alias("file_match"))
         own = accepted.filter("sid is not null").groupBy("coll", "sid").agg(F.min("at").alias("acc"))
         # The best match may be one accepted in this step, also where the history has one.
         new = links.join(own.withColumnRenamed("sid", "other"), ["coll", "other"]).select("coll", "sid", "share", "acc")
         c = cases.join(all_files, ["coll", "fh"], "left")
-        near = cases.join(old.unionByName(new), ["coll", "sid"]).filter("acc < at").groupBy("entry_id").agg(F.min(F.struct((-F.col("share")).alias("s"), "acc")).alias("x")).select("entry_id", F.col("x.acc.entry_id").alias("near_match"))
+        near = cases.join(one(old.unionByName(new)), ["coll", "sid"]).filter("acc < at").groupBy("entry_id").agg(F.min(F.struct((-F.col("share")).alias("s"), "acc")).alias("x")).select("entry_id", F.col("x.acc.entry_id").alias("near_match"))
         exact = (F.col("file_match").isNotNull()) & (F.col("file_match") < F.col("at"))
         result = c.join(near, "entry_id", "left").select(F.when(exact, F.col("file_match.entry_id")).otherwise(F.col("near_match")).alias("match_id"), "entry_id", F.when(exact, F.lit("exact")).otherwise(F.lit("near")).alias("how"))
         appended = mine.join(own.select("coll", "sid", F.col("acc").alias("a")), ["coll", "sid"]).select("coll", "sid", F.col("a").alias("acc"), "toks")
-        return self._append(accepted, appended, lambda: materialize(result.filter("match_id is not null"), "cases"))[0]
+        found = materialize(result.filter("match_id is not null"), "cases")
+        self._append(accepted, appended, small)
+        return found
 
     @staticmethod
     def _round(state: DataFrame, links: DataFrame) -> DataFrame:

@@ -271,7 +271,7 @@ def test_index_goes_on_from_its_folder(spark, tmp_path):
     for b in (2, 3):
         got |= {tuple(r) for r in batches.BatchIndex.open(spark, path).step(e.filter(f"batch_id = {b}")).collect()}
     assert got == brute_force(rows)
-    (tmp_path / "index" / "sets" / "000009_0.5_4").mkdir()  # a generation that was not completed
+    (tmp_path / "index" / "sets" / "gen=000009_0.5_4").mkdir()  # a generation that was not completed
     again = batches.BatchIndex.open(spark, path)
     assert len(again.done) == 4
     part = batches.F.col("part")
