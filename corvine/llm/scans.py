@@ -3,9 +3,11 @@
 Words counted over all documents give a lexicon. Lines that are page furniture
 are told by their form and by breaking off before the page's width; words broken
 at line ends are joined, with or without a hyphen as the lexicon has them. For a
-word the lexicon doesn't know, all it may have been before one or two confusions
-of characters are its candidates, and the words beside it pick the repair. A
-typist's slip is no confusion and is left alone.
+word the lexicon doesn't know, symmetric deletes yield candidates: words that
+become the same as it where both lose what may have been confused. A weighted
+edit distance with pairs of characters that scanners confuse, together with the
+words beside it, picks the repair. A typist's slip costs a full edit and is left
+alone.
 
 Only frequent words are held by the driver and the workers. Rarer ones are asked
 for: a first pass notes the words in question with the words beside them, joins
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import ChainMap, Counter, defaultdict
 from collections.abc import Iterator
 from copy import copy
@@ -35,6 +38,8 @@ KNOWN_SHARE, INDEX_SHARE = 4e-6, 1e-5
 LEAST, LEAST_PAIR = 4, 3
 #: Lines longer than this are no lines of a scanned page.
 WIDEST = 110
+#: Characters of a delete that stand for it.
+PREFIX = 16
 
 # What a scanner prints for what stood there.
 CONFUSED = [
@@ -155,34 +160,63 @@ def furniture(lines: list[str]) -> list[bool]:
 
 
 _PAIRS: dict[str, list[tuple[str, str]]] = defaultdict(list)
-_SEEN: dict[str, list[tuple[str, str]]] = defaultdict(list)
-_MEANT: dict[str, list[tuple[str, str]]] = defaultdict(list)
+#: What a delete takes out, by its first character: of a word as read, and of one that may be meant.
+_SEEN: dict[str, set[str]] = defaultdict(set)
+_MEANT: dict[str, set[str]] = defaultdict(set)
 for _a, _b in CONFUSED:
     _PAIRS[_a[-1]].append((_a, _b))
-    _SEEN[_a[0]].append((_a, _b))
-    _MEANT[_b[0]].append((_b, _a))
+    _SEEN[_a[0]].add(_a)
+    _MEANT[_b[0]].add(_b)
 
 
-def readings(word: str, most: int, pairs: dict[str, list[tuple[str, str]]] = _SEEN) -> dict[str, int]:
-    """All a word becomes by up to ``most`` confusions of separate places, with their number."""
-    out = {word: 0}
+def deletes(word: str, most: int, parts: dict[str, set[str]]) -> set[str]:
+    """All a word becomes by losing one to ``most`` of the parts, with a mark where each stood.
 
-    def go(at: int, head: str, used: int) -> None:
-        for i in range(at, len(word)):
-            for a, b in pairs.get(word[i], ()):
-                if word.startswith(a, i):
-                    front = head + word[at:i] + b
-                    x = front + word[i + len(a) :]
-                    out[x] = min(used, out.get(x, used))
-                    if used < most:
-                        go(i + len(a), front, used + 1)
-
-    go(0, "", 1)
+    What was read and what was meant have a delete in common if they are that
+    many confusions apart, and any other edit costs more than a repair may. Of a
+    long delete the first ``PREFIX`` characters and the length stand for it, so
+    parts further on are only told by how much shorter they leave the word.
+    """
+    at = [(i, i + len(a)) for i, c in enumerate(word[: PREFIX + 2]) for a in parts.get(c, ()) if word.startswith(a, i)]
+    far = {len(a) - 1 for i in range(PREFIX + 2, len(word)) for a in parts.get(word[i], ()) if word.startswith(a, i)}
+    # What up to two parts further on take away, by how many may still go.
+    gone = [{0}, {0} | far, {0} | far | {a + b for a in far for b in far}]
+    level = {(0, "")}
+    out = {word[:PREFIX] + str(len(word) - x) for x in (gone[most] if far else ())}
+    for left in range(most - 1, -1, -1):
+        level = {(j, head + word[end:i] + "\0") for end, head in level for i, j in at if i >= end}
+        for end, head in level:
+            x = head + word[end:]
+            if len(x) <= PREFIX:
+                out.add(x)
+            else:
+                out |= {x[:PREFIX] + str(len(x) - y) for y in gone[left]}
     return out
 
 
-def most_confusions(word: str) -> int:
-    return int((MOST_COST if len(word) > 5 else CONFUSION_COST + 0.05) / CONFUSION_COST)
+def most_cost(word: str) -> float:
+    return MOST_COST if len(word) > 5 else CONFUSION_COST + 0.05
+
+
+def seen_deletes(word: str) -> set[str]:
+    return deletes(word, int(most_cost(word) / CONFUSION_COST), _SEEN)
+
+
+def meant_deletes(word: str) -> set[str]:
+    """Those of any word this one may be read as, which is two characters longer at most."""
+    return deletes(word, int(most_cost(word + "  ") / CONFUSION_COST), _MEANT)
+
+
+def cost(seen: str, meant: str) -> float:
+    """``distance`` if it is below a full edit. The two sides of a confusion begin
+    and end differently, so what words have in common at their ends is no part of one."""
+    i, n = 0, min(len(seen), len(meant))
+    while i < n and seen[i] == meant[i]:
+        i += 1
+    j = 0
+    while j < n - i and seen[-1 - j] == meant[-1 - j]:
+        j += 1
+    return distance(seen[i : len(seen) - j], meant[i : len(meant) - j])
 
 
 def distance(seen: str, meant: str) -> float:
@@ -190,11 +224,16 @@ def distance(seen: str, meant: str) -> float:
     n, m = len(seen), len(meant)
     if abs(n - m) > 2:
         return 9.0
-    d = [[9.0] * (m + 1) for _ in range(n + 1)]
-    d[0][0] = 0.0
+    d: list[list[float]] = []
     for i in range(n + 1):
-        row = d[i]
-        for j in range(m + 1):
+        row = [9.0] * (m + 1)
+        d.append(row)
+        if i > 2:
+            d[i - 3] = []
+        # What is further from the diagonal has cost more than a full edit.
+        for j in range(max(0, i - 2), min(m, i + 2) + 1):
+            if not i and not j:
+                row[0] = 0.0
             if i and j:
                 best = d[i - 1][j - 1] + (0.0 if seen[i - 1] == meant[j - 1] else EDIT_COST)
                 if best < row[j]:
@@ -211,9 +250,38 @@ def distance(seen: str, meant: str) -> float:
     return d[n][m]
 
 
+class Deletes:
+    """The words of a lexicon by the codes of their deletes, in sorted arrays."""
+
+    def __init__(self, words: dict[str, int]):
+        self.words = [w for w, n in words.items() if n >= LEAST and Lexicon.fits(w)]
+        self.counts = np.fromiter((words[w] for w in self.words), dtype=np.int64, count=len(self.words))
+        keys, of = array("Q"), array("q")
+        for i, w in enumerate(self.words):
+            found = meant_deletes(w)
+            keys.extend(map(_code, found))
+            of.append(len(found))
+        codes = np.frombuffer(keys, dtype=np.uint64) if keys else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(codes, kind="stable")
+        self.keys = codes[order]
+        self.at = np.repeat(np.arange(len(self.words), dtype=np.int32), np.frombuffer(of, dtype=np.int64) if of else 0)[order]
+
+    def near(self, word: str, least: int) -> list[str]:
+        """Words seen ``least`` times or more that have a delete in common with this one."""
+        codes = np.fromiter(map(_code, seen_deletes(word)), dtype=np.uint64)
+        low, high = np.searchsorted(self.keys, codes), np.searchsorted(self.keys, codes, "right")
+        hits = [self.at[a:b] for a, b in zip(low.tolist(), high.tolist()) if a < b]
+        if not hits:
+            return []
+        found = np.unique(np.concatenate(hits))
+        return [self.words[i] for i in found[self.counts[found] >= least].tolist()]
+
+
 _KEPT: list[dict] = []
 #: Entries a worker keeps of what it has worked out about words.
 MOST_KEPT = 200_000
+#: Deletes given out at a time.
+MOST_DELETES = 200_000
 
 
 class Lexicon:
@@ -223,6 +291,8 @@ class Lexicon:
     def __init__(self, words: dict[str, int], total: int, pairs: dict[tuple[str, str], int] | None = None):
         self.words, self.pairs = words, pairs or {}
         self.usual = max(8.0, total * INDEX_SHARE)
+        self.index = Deletes(words)
+        self.settled: dict[str, list[tuple[float, str]]] = {}
         self.memo: dict[str, list[tuple[float, str]]] = {}
         self.nothing: dict[str, bool] = {}
         self.counts: DataFrame | None = None
@@ -239,18 +309,27 @@ class Lexicon:
         self.memo, self.nothing = {}, {}
         _KEPT[:] = [self.memo, self.nothing]
 
+    def settle(self) -> None:
+        """Work out the candidates of all words held, so that no worker has to."""
+        self.settled = {w: self.candidates(w) for w in self.words}
+        self.memo.clear()
+
     def candidates(self, word: str) -> list[tuple[float, str]]:
         """Words a scanner may have read as this one, by cost and frequency."""
-        found = self.memo.get(word)
+        found = self.settled.get(word)
         if found is None:
-            own = self.words.get(word, 0)
-            near = [(k, -self.words[c], c) for c, k in readings(word, most_confusions(word)).items() if k and c in self.words and self.fits(c) and self.words[c] >= max(LEAST, 20 * own) and not self.misread(c)]
-            found = [(k * CONFUSION_COST, c) for k, _, c in sorted(near)]
+            found = self.memo.get(word)
+        if found is None:
+            near = [(k, -self.words[c], c) for c in self.near(word, max(LEAST, 20 * self.words.get(word, 0))) if c != word and (k := cost(word, c)) <= most_cost(word) and not self.misread(c)]
+            found = [(k, c) for k, _, c in sorted(near)]
             if len(self.memo) > MOST_KEPT:
                 self.memo.clear()
             self.memo[word] = found
         return found
 
+    def near(self, word: str, least: int) -> list[str]:
+        return self.index.near(word, least)
+
     def misread(self, c: str) -> bool:
         """Whether a word is one that would be repaired itself, and so not what is meant."""
         return len(c) > 4 and self.words[c] < self.usual and bool(self.candidates(c))
@@ -562,6 +641,7 @@ def learn(df: DataFrame, text: str) -> Lexicon:
     total = c.agg(F.sum("n")).first()[0] or 0
     words = {r.w: r.n for r in c.filter(F.col("n") >= max(LEAST, math.ceil(total * KNOWN_SHARE))).collect()}
     lexicon = Lexicon(words, total)
+    lexicon.settle()
     usual = {w for w, n in words.items() if n >= lexicon.usual}
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -591,37 +671,39 @@ _ASK = "kind string, w string, b string, a string, look array<string>, near arra
 def _candidates(asked: DataFrame, counts: DataFrame, usual: float) -> DataFrame:
     """``(w, own, cands)`` of asked words: their own count and all words above
     ``LEAST`` that a scanner may have read so, without those misread themselves.
-    One confusion of the asked word and one, taken back, of the other meet halfway."""
+    The deletes of both are joined, and the weighted distance tells which are near."""
 
-    def halves(column: str, pairs: dict):
-        def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_code(column: str, made):
+        def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                index, x = [], []
+                index, x = array("i"), array("Q")
                 for i, w in enumerate(b.column(column).to_pylist()):
-                    r = readings(w, 1, pairs)
-                    index += [i] * len(r)
-                    x += r
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), *(c.take(pa.array(index, pa.int32())) for c in b.columns)], names=["x", *b.schema.names])
+                    x.extend(map(_code, made(w)))
+                    index.extend([i] * (len(x) - len(index)))
+                    if len(x) > MOST_DELETES or i + 1 == b.num_rows:
+                        at = pa.array(np.frombuffer(index, dtype=np.int32) if index else [], pa.int32())
+                        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, dtype=np.int64) if x else [], pa.int64()), *(c.take(at) for c in b.columns)], names=["x", *b.schema.names])
+                        index, x = array("i"), array("Q")
 
-        return half
+        return code
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cost = [distance(w, c) for w, c in zip(b.column("w").to_pylist(), b.column("c").to_pylist())]
-            keep = pa.array([i for i, (w, k) in enumerate(zip(b.column("w").to_pylist(), cost)) if k <= most_confusions(w) * CONFUSION_COST + 0.05], pa.int32())
+            keep = pa.array([i for i, (w, c) in enumerate(zip(b.column("w").to_pylist(), b.column("c").to_pylist())) if cost(w, c) <= most_cost(w)], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(n).take(keep) for n in ("w", "c", "n")], names=["w", "c", "n"])
 
     # Lines of a page are bounded, and so is a word joined from two of them.
     meant = counts.filter(f"length(w) between 2 and {2 * WIDEST + 9} and not w rlike '\\\\p{{Nd}}'").select(F.col("w").alias("c"), "n")
-    right = meant.mapInArrow(halves("c", _MEANT), "x string, c string, n bigint")
 
-    def pairs(words: DataFrame) -> DataFrame:
-        left = words.mapInArrow(halves("w", _SEEN), "x string, w string")
+    def pairs(words: DataFrame, meant: DataFrame) -> DataFrame:
+        left = words.mapInArrow(by_code("w", seen_deletes), "x bigint, w string")
+        right = meant.mapInArrow(by_code("c", meant_deletes), "x bigint, c string, n bigint")
         return left.join(right, "x").filter("w <> c").select("w", "c", "n").distinct().mapInArrow(near, "w string, c string, n bigint")
 
-    found = materialize(pairs(asked), "near")
+    found = materialize(pairs(asked.filter(F.length("w") <= 2 * WIDEST + 11), meant), "near")
     doubtful = found.filter((F.col("n") < usual) & (F.length("c") > 4)).select(F.col("c").alias("w"), F.col("n").alias("own")).distinct()
-    misread = pairs(doubtful.select("w")).join(doubtful, "w").filter("n >= 20 * own").select(F.col("w").alias("c")).distinct()
+    # A word counted is counted LEAST times, and one meant 20 times as often.
+    misread = pairs(doubtful.select("w"), meant.filter(F.col("n") >= 20 * LEAST)).join(doubtful, "w").filter("n >= 20 * own").select(F.col("w").alias("c")).distinct()
     found = found.join(misread, "c", "left_anti")
     own = asked.join(counts, "w").select("w", F.col("n").alias("own"))
     found = found.groupBy("w").agg(F.collect_list(F.struct("c", "n")).alias("cands"))
@@ -670,6 +752,10 @@ class _One(Lexicon):
 
     def __init__(self, held: Lexicon, more: dict[str, int], support: dict[str, int]):
         self.words, self.pairs, self.usual, self.memo, self.support = ChainMap(more, held.words), held.pairs, held.usual, {}, support
+        self.index, self.settled, self.more = held.index, held.settled, more
+
+    def near(self, word: str, least: int) -> list[str]:
+        return list({*super().near(word, least), *(c for c, n in self.more.items() if n >= least and self.fits(c))})
 
     def name(self, word: str) -> str:
         return word

@@ -69,6 +69,53 @@ def test_scan_repairs_to_rare_words(spark, monkeypatch, share):
     assert clean["p"] == "Then the vexdruok was shut, and the limhovvex too." and clean["q"] == rows[4][1] and clean["e"] == "" and len(clean) == 6
 
 
+def test_deletes_meet_wherever_confusions_are():
+    for (a, b), (c, d) in itertools.product(scans.CONFUSED, repeat=2):
+        seen, meant = f"k{a}jk{c}s", f"k{b}jk{d}s"
+        once = f"k{b}jk{c}s"
+        assert scans.seen_deletes(once + "xx") & scans.meant_deletes(meant + "xx") and scans.seen_deletes(seen + "xx") & scans.meant_deletes(meant + "xx")
+        assert a[0] != b[0] and a[-1] != b[-1] and scans.cost(seen, meant) == pytest.approx(scans.distance(seen, meant))
+    assert scans.seen_deletes("cat") == {"\0at", "c\0t", "ca\0"} and scans.meant_deletes("jkx") == set()
+    assert not scans.seen_deletes("mergse") & scans.meant_deletes("merges")
+
+
+@pytest.mark.parametrize("size", [12, 16, 17, 18, 19, 20, 40, 5000])
+def test_deletes_of_long_words_stay_few_and_meet(size):
+    rng = random.Random(size)
+    for _ in range(60 if size < 100 else 5):
+        meant = "".join(rng.choice("aceimnrtuvwhlidjk") for _ in range(size))
+        seen, at = meant, 0
+        for _ in range(2):
+            places = [(i, a, b) for i in range(at, min(at + size // 2 + 2, len(seen))) for a, b in scans.CONFUSED if seen.startswith(b, i)]
+            i, a, b = rng.choice(places)
+            seen, at = seen[:i] + a + seen[i + len(b) :], i + len(a)
+            assert scans.seen_deletes(seen) & scans.meant_deletes(meant)
+            assert seen == meant or scans.cost(seen, meant) <= scans.MOST_COST
+        assert len(scans.seen_deletes(seen)) < 1000
+    assert scans.Deletes({meant: 5}).near(seen, 4) == [meant]
+
+
+def test_candidates_match_brute_force(spark):
+    rng = random.Random(5)
+    meant = {"".join(rng.choice("aceimnrtuvwhlid") for _ in range(rng.randint(2, 8))): rng.choice([3, 4, 30, 900]) for _ in range(400)} | {"vv1nd": 50, "m": 50}
+    seen = set(list(meant)[:50])
+    for w in list(meant) * 3:
+        for _ in range(rng.choice([1, 2, 2])):
+            a, b = rng.choice([(a, b) for a, b in scans.CONFUSED if b in w] or [("", "")])
+            at = rng.choice([i for i in range(len(w)) if w.startswith(b, i)])
+            w = w[:at] + a + w[at + len(b) :]
+        seen.add(w)
+    usable = {c: n for c, n in meant.items() if n >= scans.LEAST and len(c) > 1 and c.isalpha()}
+    near = {w: {c for c in usable if c != w and scans.distance(w, c) <= (scans.MOST_COST if len(w) > 5 else scans.CONFUSION_COST + 0.05)} for w in seen}
+    assert sum(map(len, near.values())) > 500
+    index = scans.Deletes(meant)
+    assert all({c for c in index.near(w, scans.LEAST) if c != w and scans.cost(w, c) <= scans.most_cost(w)} == near[w] for w in seen)
+    counts = frame(spark, [x for x in meant.items() if x[1] >= scans.LEAST], "w string, n bigint")
+    # With nothing below the usual count no candidate is doubtful.
+    got = scans._candidates(frame(spark, [(w,) for w in seen], "w string"), counts, 0.0).collect()
+    assert {r.w: {c.c for c in r.cands or ()} for r in got if r.cands} == {w: x for w, x in near.items() if x}
+
+
 # 2
 
 SAMPLES = {
