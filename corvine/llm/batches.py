@@ -4,15 +4,20 @@ The accepted history lives in an index of three growing tables: file hashes,
 distinct chunk sets, and postings of each set's rare-token prefix in folders by
 token. A batch probes the postings with its own prefixes, filters by length and
 position, verifies the overlap, settles what its own entries mean for each
-other, and appends what was accepted. Batches go one after another; the
-history's entries are never read again.
+other (a small batch in one task, a large one in rounds), and appends what was
+accepted. Batches go one after another; the history's entries are never read
+again.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +29,7 @@ SHARE = 0.5
 PARTS, BROADCAST_BYTES = 16, 32 << 20
 
 _ACC = "acc struct<batch_id:int,entry_id:bigint>"
+_SETTLED = pa.schema({"batch_id": pa.int32(), "entry_id": pa.int64(), "coll": pa.string(), "fh": pa.string(), "sid": pa.int64(), "toks": pa.list_(pa.int64()), "match_id": pa.int64(), "how": pa.string(), "taken": pa.bool_()})
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -55,6 +61,53 @@ def entries(registry: DataFrame) -> DataFrame:
     return e.withColumn("at", F.struct("batch_id", "entry_id"))
 
 
+def settler(share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Settles a whole batch in one task, entry by entry in the order of arrival.
+
+    Takes the entries with ``e``, the history's entry of their file, and ``o``, its
+    best set; gives ``_SETTLED``. Among themselves sets meet by prefixes in the
+    order of the batch's own counts: a token new to the history may be in all of it.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for part in parts for r in part.to_pylist()), key=lambda r: (r["batch_id"], r["entry_id"]))
+        count = Counter(t for r in rows for t in r["toks"] or ())
+        place = lambda acc: (acc["batch_id"], acc["entry_id"])
+        files: dict[tuple, tuple] = {}
+        sets: list[tuple[frozenset, tuple]] = []
+        heads: dict[tuple, list[int]] = defaultdict(list)
+        for r in rows:
+            at, coll, toks = place(r), r["coll"], r["toks"] or []
+            n, whole = len(toks), frozenset(toks)
+            rare = sorted(toks, key=lambda t: (count[t], t))[: n - math.ceil(n * share - 1e-9) + 1]
+            head = [(coll, t) for t in rare if count[t] > 1]
+            file = [place(r["e"])] if r["e"] else []
+            if r["fh"] is not None and (coll, r["fh"]) in files:
+                file.append(files[coll, r["fh"]])
+            near = [(r["o"]["s"], place(r["o"]["acc"]))] if r["o"] else []
+            for k in {k for h in head for k in heads.get(h, ())}:
+                other, acc = sets[k]
+                if min(n, len(other)) >= max(n, len(other)) * share - 1e-9:
+                    both = len(whole & other)
+                    alike = both / (n + len(other) - both)
+                    near += [(-alike, acc)] * (alike >= share)
+            r["taken"] = not file and not near
+            if r["taken"]:
+                if r["fh"] is not None:
+                    files[coll, r["fh"]] = at
+                if n:
+                    for h in head:
+                        heads[h].append(len(sets))
+                    sets.append((whole, at))
+            exact = bool(file) and min(file) < at
+            best = min(file) if exact else min((x for x in near if x[1] < at), default=(0, None))[1]
+            r["match_id"], r["how"] = (best[1], "exact" if exact else "near") if best else (None, None)
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_SETTLED)
+
+    return run
+
+
 class BatchIndex:
     """The accepted history in a folder. ``build`` takes the first of it, ``step``
     a batch, ``open`` goes on with a folder of before.
@@ -178,40 +231,59 @@ class BatchIndex:
         mine_posts = self._posts(mine)
 
         hashes = few(batch.filter("fh is not null").select("coll", "fh").distinct())
-        known = one(materialize(files.join(hashes, ["coll", "fh"], "left_semi").groupBy("coll", "fh").agg(F.min("acc").alias("acc")), "hits"))
-        # The batch's sets against the history and against each other: of the former only the best is kept.
+        known = files.join(hashes, ["coll", "fh"], "left_semi").groupBy("coll", "fh").agg(F.min("acc").alias("acc"))
         cols = ["coll", "sid", "n", "pos", "tok", "own"]
-        posted = self._folders(posts, found).withColumn("own", F.lit(False)).select(*cols).unionByName(mine_posts.withColumn("own", F.lit(True)).select(*cols))
-        every = sets.withColumn("own", F.lit(False)).unionByName(mine.withColumn("own", F.lit(True)))
-        near = self._near(few(mine), few(mine_posts), every, posted)
-        near = one(materialize(near.groupBy("coll", "sid", "own", F.when(F.col("own"), F.col("other")).alias("other")).agg(F.min(F.struct((-F.col("share")).alias("s"), "acc")).alias("x")).select("coll", "sid", "own", "other", (-F.col("x.s")).alias("share"), "x.acc"), "near"))
+        posted, every = self._folders(posts, found).withColumn("own", F.lit(False)).select(*cols), sets.withColumn("own", F.lit(False))
+        if small:
+            return self._at_once(batch, mine, mine_posts, known, every, posted)
+        known = materialize(known, "hits")
+        # The batch's sets against the history and against each other: of the former only the best is kept.
+        posted = posted.unionByName(mine_posts.withColumn("own", F.lit(True)).select(*cols))
+        every = every.unionByName(mine.withColumn("own", F.lit(True)))
+        near = self._near(mine, mine_posts, every, posted)
+        near = materialize(near.groupBy("coll", "sid", "own", F.when(F.col("own"), F.col("other")).alias("other")).agg(F.min(F.struct((-F.col("share")).alias("s"), "acc")).alias("x")).select("coll", "sid", "own", "other", (-F.col("x.s")).alias("share"), "x.acc"), "near")
         old = near.filter("not own").select("coll", "sid", "share", "acc")
-        links = one(near.filter("own and sid <> other").select("coll", "sid", "other", "share").union(mine.select("coll", "sid", F.col("sid").alias("other"), F.lit(1.0).alias("share"))))
+        links = near.filter("own and sid <> other").select("coll", "sid", "other", "share").union(mine.select("coll", "sid", F.col("sid").alias("other"), F.lit(1.0).alias("share")))
         # Entries alike in file and chunks stand or fall with the first of them.
         rep = batch.groupBy("coll", F.coalesce("fh", F.concat(F.lit("-"), F.col("entry_id").cast("string"))).alias("f"), "sid").agg(F.min("at").alias("at"), F.first("fh").alias("fh"))
         gone = rep.join(known.select("coll", "fh", F.lit(1).alias("e")), ["coll", "fh"], "left").join(old.select("coll", "sid", F.lit(1).alias("o")), ["coll", "sid"], "left")
         state = gone.select("coll", "f", "sid", "fh", "at", F.when(F.col("e").isNotNull() | F.col("o").isNotNull(), F.lit("case")).otherwise(F.lit("open")).alias("s"))
         while True:
-            state = one(materialize(self._round(state, links), "state"))
+            state = materialize(self._round(state, links), "state")
             if state.filter("s = 'open'").isEmpty():
                 break
         taken = state.filter("s = 'accepted'").select(F.col("at.entry_id").alias("entry_id"))
         accepted = batch.join(taken, "entry_id", "left_semi")
         cases = batch.join(taken, "entry_id", "left_anti")
         own_files = accepted.filter("fh is not null").select("coll", "fh", F.col("at").alias("acc"))
-        all_files = one(known.unionByName(own_files)).groupBy("coll", "fh").agg(F.min("acc").alias("file_match"))
+        all_files = known.unionByName(own_files).groupBy("coll", "fh").agg(F.min("acc").alias("file_match"))
         own = accepted.filter("sid is not null").groupBy("coll", "sid").agg(F.min("at").alias("acc"))
         # The best match may be one accepted in this step, also where the history has one.
         new = links.join(own.withColumnRenamed("sid", "other"), ["coll", "other"]).select("coll", "sid", "share", "acc")
         c = cases.join(all_files, ["coll", "fh"], "left")
-        near = cases.join(one(old.unionByName(new)), ["coll", "sid"]).filter("acc < at").groupBy("entry_id").agg(F.min(F.struct((-F.col("share")).alias("s"), "acc")).alias("x")).select("entry_id", F.col("x.acc.entry_id").alias("near_match"))
+        near = cases.join(old.unionByName(new), ["coll", "sid"]).filter("acc < at").groupBy("entry_id").agg(F.min(F.struct((-F.col("share")).alias("s"), "acc")).alias("x")).select("entry_id", F.col("x.acc.entry_id").alias("near_match"))
         exact = (F.col("file_match").isNotNull()) & (F.col("file_match") < F.col("at"))
         result = c.join(near, "entry_id", "left").select(F.when(exact, F.col("file_match.entry_id")).otherwise(F.col("near_match")).alias("match_id"), "entry_id", F.when(exact, F.lit("exact")).otherwise(F.lit("near")).alias("how"))
         appended = mine.join(own.select("coll", "sid", F.col("acc").alias("a")), ["coll", "sid"]).select("coll", "sid", F.col("a").alias("acc"), "toks")
         found = materialize(result.filter("match_id is not null"), "cases")
-        self._append(accepted, appended, small)
+        self._append(accepted, appended)
         return found
 
+    def _at_once(self, batch: DataFrame, mine: DataFrame, mine_posts: DataFrame, known: DataFrame, sets: DataFrame, posts: DataFrame) -> DataFrame:
+        """The step of a small batch: what the history has for it, at most one row a
+        file hash and a set of the batch, goes into one task that settles it. The
+        driver plans as many jobs however the entries hang together."""
+        near = self._near(F.broadcast(mine), F.broadcast(mine_posts), sets, posts)
+        old = near.groupBy("coll", "sid").agg(F.min(F.struct((-F.col("share")).alias("s"), "acc")).alias("o"))
+        x = batch.drop("toks", "at").join(F.broadcast(mine.select("coll", "sid", "toks")), ["coll", "sid"], "left")
+        x = x.join(F.broadcast(known.withColumnRenamed("acc", "e")), ["coll", "fh"], "left").join(F.broadcast(old), ["coll", "sid"], "left")
+        x = x.select("batch_id", "entry_id", "coll", "fh", "sid", "toks", "e", "o").coalesce(1)
+        schema = "batch_id int, entry_id bigint, coll string, fh string, sid bigint, toks array<bigint>, match_id bigint, how string, taken boolean"
+        settled = materialize(x.mapInArrow(settler(self.share), schema), "settled").coalesce(1)
+        accepted = settled.filter("taken").withColumn("at", F.struct("batch_id", "entry_id"))
+        self._append(accepted, accepted.filter("sid is not null").select("coll", "sid", F.col("at").alias("acc"), "toks"), True)
+        return settled.filter("match_id is not null").select("match_id", "entry_id", "how")
+
     @staticmethod
     def _round(state: DataFrame, links: DataFrame) -> DataFrame:
         """Settle every open entry with no open entry before it in its file or

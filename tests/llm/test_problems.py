@@ -1,6 +1,7 @@
 """The ten problems against brute force, hand-made cases and odd inputs."""
 
 import itertools
+import os
 import random
 import re
 
@@ -307,6 +308,30 @@ def test_batches_prefer_the_stronger_new_match(spark, one_by_one):
     assert {tuple(r) for r in batches.check_batches(df, one_by_one=one_by_one).collect()} == want
 
 
+def chain(n):
+    hashes = lambda x: str({f"k{i}": f"{t:064x}" for i, t in enumerate(x)}).replace("'", '"')
+    return [(1, 0, "p", "f", "abc", None, hashes([9999]), "2031-01-01")] + [(i, 1, "p", "f", None, None, hashes(range(3 * i, 3 * i + 9)), "2031-01-01") for i in range(2, n + 2)]
+
+
+def test_batches_cost_the_driver_the_same_however_they_hang_together(spark):
+    schema = "entry_id bigint, batch_id int, collection_id string, filename string, file_hash string, chunk_ids string, chunk_hashes string, ingested_at string"
+    folder = batches.shared_dir(spark).removeprefix("file://")
+    written = []
+    for n in (2, 14):
+        before = len(os.listdir(folder))
+        assert {tuple(r) for r in batches.check_batches(frame(spark, chain(n), schema)).collect()} == brute_force(chain(n))
+        written.append(len(os.listdir(folder)) - before)
+    assert len(brute_force(chain(14))) == 7 and written[0] == written[1]
+
+
+@pytest.mark.parametrize("one_by_one", [False, True])
+def test_large_batches_settle_in_rounds(spark, monkeypatch, one_by_one):
+    monkeypatch.setattr(batches, "BROADCAST_BYTES", -1)
+    rows = registry(random.Random(24), 90) + [(i + 200, b + 3, "z", *r) for i, b, _, *r in chain(6)[1:]]
+    df = frame(spark, rows, "entry_id bigint, batch_id int, collection_id string, filename string, file_hash string, chunk_ids string, chunk_hashes string, ingested_at string")
+    assert {tuple(r) for r in batches.check_batches(df, one_by_one=one_by_one).collect()} == brute_force(rows)
+
+
 def test_index_goes_on_from_its_folder(spark, tmp_path):
     rows = registry(random.Random(14), 120)
     schema = "entry_id bigint, batch_id int, collection_id string, filename string, file_hash string, chunk_ids string, chunk_hashes string, ingested_at string"
