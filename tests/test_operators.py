@@ -279,6 +279,26 @@ def test_graph_views(spark, tmp_path):
     assert got == {("q", "1"): 0.85, ("p", "2"): 0.3}
 
 
+def test_trace_has_all_names_and_edges(spark):
+    names = [f"N{k:02}" for k in range(45)]
+    e = graph.co_occurrence(spark.createDataFrame([("1", x) for x in names] + [("2", x) for x in names[-2:]], "chunk_id string, name string"))
+    t = graph.trace(spark.createDataFrame([("q", x, 1) for x in names] + [("p", "N00", 0)], "query_id string, name string, hops int"), e)
+    got = {r.query_id: r for r in t.collect()}
+    assert [x.name for x in got["q"].names] == names and (got["q"].total_names, got["q"].total_edges) == (45, 990)
+    assert [(x.src, x.dst, x.weight) for x in got["q"].edges[:2]] == [("N43", "N44", 2), ("N00", "N01", 1)] and len(got["q"].edges) == 990
+    assert got["p"].edges is None and (got["p"].total_names, got["p"].total_edges) == (1, 0)
+
+
+def test_graph_trace_counts_all_edges_between_neighbours(spark, tmp_path):
+    from corvine.plans import catalog, more  # noqa: F401
+
+    words = [f"Name {a}{b}" for a in ("Al", "Be", "Ce") for b in "abc"]
+    rows = [("f-0", "c", "f", 0, ", ".join(words)), ("f-1", "c", "f", 1, f"{words[0]}, Far Off")]
+    spark.createDataFrame(rows, "chunk_id string, collection_id string, filename string, chunk_index int, content string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r.query_id: (r.total_names, r.total_edges) for r in catalog.QUERIES["graph_trace"](spark, str(tmp_path)).collect()}
+    assert got == {words[0]: (10, 37), "Far Off": (2, 1)} | {w: (9, 36) for w in words[1:]}
+
+
 # Ingest, encoders, sinks, evaluation.
 
 
