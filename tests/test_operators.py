@@ -299,6 +299,35 @@ def test_graph_trace_counts_all_edges_between_neighbours(spark, tmp_path):
     assert got == {words[0]: (10, 37), "Far Off": (2, 1)} | {w: (9, 36) for w in words[1:]}
 
 
+def test_graph_trace_shuffles_neither_texts_nor_products(spark, tmp_path):
+    """What a name of all queries leads to isn't multiplied by the queries, and texts stay where they are read."""
+    import random
+
+    from corvine.plans import catalog, more  # noqa: F401
+
+    rng, n = random.Random(1), 400
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    leaf = [f"Leaf {letters[k // 26].upper()}{letters[k % 26]}x" for k in range(n)]
+    rows = [(f"f-{k}", "c", "f", k, f"Big Hub, {leaf[k]}; " + "".join(rng.choices(letters, k=2000))) for k in range(n)]
+    spark.createDataFrame(rows, "chunk_id string, collection_id string, filename string, chunk_index int, content string").write.parquet(f"{tmp_path}/chunks.parquet")
+
+    def written() -> tuple[int, int]:
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        each = [stages.apply(i) for i in range(stages.size())]
+        return sum(x.shuffleWriteRecords() for x in each), sum(x.shuffleWriteBytes() for x in each)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        got = {r.query_id: (r.total_names, r.total_edges) for r in catalog.QUERIES["graph_trace"](spark, str(tmp_path)).collect()}
+        rows_out, bytes_out = (b - a for a, b in zip(before, written()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {"Big Hub": (n + 1, n)} | {x: (2, 1) for x in leaf}
+    assert rows_out < 30 * n and bytes_out < 1000 * n
+
+
 # Ingest, encoders, sinks, evaluation.
 
 
