@@ -665,6 +665,13 @@ def learn(df: DataFrame, text: str) -> Lexicon:
     return lexicon
 
 
+def _joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by shuffle, whatever the settings: the bytes of a file, and what they are
+    taken for after a step in Python, are a small part of what the rows take in the
+    driver, so neither side is to be broadcast for them."""
+    return left.join(right.hint("merge"), on, how)
+
+
 _ASK = "kind string, w string, b string, a string, look array<string>, near array<string>"
 
 
@@ -698,16 +705,16 @@ def _candidates(asked: DataFrame, counts: DataFrame, usual: float) -> DataFrame:
     def pairs(words: DataFrame, meant: DataFrame) -> DataFrame:
         left = words.mapInArrow(by_code("w", seen_deletes), "x bigint, w string")
         right = meant.mapInArrow(by_code("c", meant_deletes), "x bigint, c string, n bigint")
-        return left.join(right, "x").filter("w <> c").select("w", "c", "n").distinct().mapInArrow(near, "w string, c string, n bigint")
+        return _joined(left, right, "x").filter("w <> c").select("w", "c", "n").distinct().mapInArrow(near, "w string, c string, n bigint")
 
     found = materialize(pairs(asked.filter(F.length("w") <= 2 * WIDEST + 11), meant), "near")
     doubtful = found.filter((F.col("n") < usual) & (F.length("c") > 4)).select(F.col("c").alias("w"), F.col("n").alias("own")).distinct()
     # A word counted is counted LEAST times, and one meant 20 times as often.
-    misread = pairs(doubtful.select("w"), meant.filter(F.col("n") >= 20 * LEAST)).join(doubtful, "w").filter("n >= 20 * own").select(F.col("w").alias("c")).distinct()
-    found = found.join(misread, "c", "left_anti")
-    own = asked.join(counts, "w").select("w", F.col("n").alias("own"))
+    misread = _joined(pairs(doubtful.select("w"), meant.filter(F.col("n") >= 20 * LEAST)), doubtful, "w").filter("n >= 20 * own").select(F.col("w").alias("c")).distinct()
+    found = _joined(found, misread, "c", "left_anti")
+    own = _joined(asked, counts, "w").select("w", F.col("n").alias("own"))
     found = found.groupBy("w").agg(F.collect_list(F.struct("c", "n")).alias("cands"))
-    return own.join(found, "w", "full").select("w", F.coalesce("own", F.lit(0)).alias("own"), "cands")
+    return _joined(own, found, "w", "full").select("w", F.coalesce("own", F.lit(0)).alias("own"), "cands")
 
 
 def _answers(asks: DataFrame, lexicon: Lexicon, shared) -> DataFrame:
@@ -715,7 +722,7 @@ def _answers(asks: DataFrame, lexicon: Lexicon, shared) -> DataFrame:
     ask = ["kind", "w", "b", "a"]
     facts = materialize(_candidates(asks.select(F.explode("look").alias("w")).distinct(), lexicon.counts, lexicon.usual), "facts")
     known = facts.select(F.col("w").alias("x"), F.struct(F.col("w").alias("x"), "own", "cands").alias("fact"))
-    told = asks.select(*ask, "near", F.explode_outer("look").alias("x")).join(known, "x", "left").groupBy(*ask).agg(F.first("near").alias("near"), F.collect_list("fact").alias("facts"))
+    told = _joined(asks.select(*ask, "near", F.explode_outer("look").alias("x")), known, "x", "left").groupBy(*ask).agg(F.first("near").alias("near"), F.collect_list("fact").alias("facts"))
     told = materialize(told.filter("kind = 'join' or size(near) > 0 or size(facts) > 0"), "told")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -730,7 +737,7 @@ def _answers(asks: DataFrame, lexicon: Lexicon, shared) -> DataFrame:
             k = _pair_code(np.asarray(left, dtype=np.uint64), np.asarray(right, dtype=np.uint64))
             yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.string()) for i in range(4)), pa.array(k)], names=["w", "b", "a", "x", "k"])
 
-    support = told.filter("kind = 'word'").mapInArrow(keys, "w string, b string, a string, x string, k bigint").join(lexicon.bigrams, "k")
+    support = _joined(told.filter("kind = 'word'").mapInArrow(keys, "w string, b string, a string, x string, k bigint"), lexicon.bigrams, "k")
     support = support.groupBy("w", "b", "a", "x").agg(F.sum("n").alias("n")).groupBy("w", "b", "a").agg(F.collect_list(F.struct("x", "n")).alias("support")).withColumn("kind", F.lit("word"))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -744,7 +751,7 @@ def _answers(asks: DataFrame, lexicon: Lexicon, shared) -> DataFrame:
                 sure.append(r["kind"] == "word" and one.plain(r["w"]))
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ask), pa.array(fixed, pa.string()), pa.array(sure, pa.bool_())], names=[*ask, "fixed", "sure"])
 
-    return told.join(support, [*ask], "left").mapInArrow(answer, "kind string, w string, b string, a string, fixed string, sure boolean").filter("fixed is not null or sure")
+    return _joined(told, support, [*ask], "left").mapInArrow(answer, "kind string, w string, b string, a string, fixed string, sure boolean").filter("fixed is not null or sure")
 
 
 class _One(Lexicon):
@@ -791,8 +798,8 @@ def _pages(df: DataFrame, key: list[str], text: str, lexicon: Lexicon, use, shar
         lexicon.counts, lexicon.bigrams = empty, empty.select(F.lit(0).cast("bigint").alias("k"), "n")
     flat = pages.select("th", F.explode("asks").alias("q")).select("th", "q.*")
     answers = materialize(_answers(flat.drop("th").dropDuplicates(["kind", "w", "b", "a"]), lexicon, shared), "answers")
-    per = flat.select("th", "kind", "w", "b", "a").distinct().join(answers, ["kind", "w", "b", "a"]).groupBy("th").agg(F.collect_list(F.struct("kind", "w", "b", "a", "fixed", "sure")).alias("answers"))
-    return pages.select(*names, "side", "th").join(per, "th", "left").drop("th")
+    per = _joined(flat.select("th", "kind", "w", "b", "a").distinct(), answers, ["kind", "w", "b", "a"]).groupBy("th").agg(F.collect_list(F.struct("kind", "w", "b", "a", "fixed", "sure")).alias("answers"))
+    return _joined(pages.select(*names, "side", "th"), per, "th", "left").drop("th")
 
 
 _ASKS = pa.list_(pa.struct([("kind", pa.string()), ("w", pa.string()), ("b", pa.string()), ("a", pa.string()), ("look", pa.list_(pa.string())), ("near", pa.list_(pa.string()))]))

@@ -117,6 +117,23 @@ def test_candidates_match_brute_force(spark):
     assert {r.w: {c.c for c in r.cands or ()} for r in got if r.cands} == {w: x for w, x in near.items() if x}
 
 
+def test_scan_broadcasts_no_table(spark, tmp_path):
+    """What comes to the driver doesn't follow the tables, which are small in files and large in rows."""
+    rng = random.Random(3)
+    usual = ["".join(rng.choices("abcdefghiklmnorstuvw", k=8)) for _ in range(400)]
+    lines = [" ".join(rng.choices(usual, k=8)) for _ in range(1500)]
+    rare = [w for w in usual if "m" in w][:50]
+    rows = [(str(k), f"{lines[k]}\n{lines[k + 1]} {rare[k % 50].replace('m', 'rn', 1) if k < 100 else ''}\n{lines[k + 2]}\n{k}") for k in range(1400)]
+    df = frame(spark, rows, "id string, text string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    n = scans.scan_noise(df, ["id"], "text", scans.learn(df, "text")).filter("kind = 'char'").count()
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = store.executionsList(before, 1000)
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(ran.size())]
+    assert n > 50 and plans and not [x for x in plans if "BroadcastHashJoin" in x or "BroadcastNestedLoopJoin" in x]
+
+
 # 2
 
 SAMPLES = {
